@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,15 +28,6 @@ def share_percent(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0)) * 100
 
 
-def sample_std(values: list[Column]) -> Column:
-    """Sample standard deviation across columns of one row; null for fewer than two."""
-    if len(values) < 2:
-        return F.lit(None).cast("double")
-    mean = reduce(lambda a, b: a + b, values) / len(values)
-    squares = reduce(lambda a, b: a + b, [(v - mean) * (v - mean) for v in values])
-    return F.sqrt(squares / (len(values) - 1))
-
-
 def corrected_skewness(value: Column) -> Column:
     """Small-sample corrected skewness (G1); Spark's built-in is the population form."""
     n = F.count(value).cast("double")

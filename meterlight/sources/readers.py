@@ -13,7 +13,6 @@ from meterlight.schema import (
     HOUSEHOLD,
     HOUSEHOLD_SOURCE_COLUMNS,
     ORDINAL,
-    TARGET,
     WEATHER_SOURCE_COLUMNS,
 )
 
@@ -191,22 +190,3 @@ def scan_documents(spark: SparkSession, labelled_paths: dict[str, str]) -> DataF
 def document_table(documents: DataFrame) -> DataFrame:
     """Documents already held in a table, with the same columns as ``scan_documents``."""
     return documents.select("doc_id", "source", "text")
-
-
-__all__ = [
-    "TARGET",
-    "document_table",
-    "first_per_key",
-    "missing_to_null",
-    "number_or_null",
-    "parse_date",
-    "path_exists",
-    "read_csv",
-    "scan_acorn_details",
-    "scan_documents",
-    "scan_holidays",
-    "scan_households",
-    "scan_readings",
-    "scan_table",
-    "scan_weather",
-]
