@@ -176,9 +176,11 @@ def question_keywords(questions: DataFrame) -> DataFrame:
 def _grams(token: Column) -> Column:
     """Distinct substrings of up to ``GRAM`` characters."""
     starts = F.sequence(F.lit(1), F.length(token))
-    grams = [F.transform(starts, lambda i, n=n: F.substring(token, i, F.lit(n)))
-             for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*grams))
+
+    def of_length(n: int) -> Column:
+        return F.transform(starts, lambda start: F.substring(token, start, F.lit(n)))
+
+    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, GRAM + 1)]))
 
 
 def keyword_tokens(chunk_tokens: DataFrame, words: DataFrame) -> DataFrame:

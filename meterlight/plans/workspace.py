@@ -9,10 +9,22 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from meterlight.operators import eda, profiles, retrieval
+from meterlight.operators.forecast import settings_for
 from meterlight.plans.panel import Panel, build_panel
+from meterlight.plans.training import Trained, save_all, train_all
+from meterlight.schema import HOUSEHOLD, TARGET, lag_column
 from meterlight.session import materialize, new_path
 from meterlight.sources import sinks, testbed
+from meterlight.sources.readers import document_table, scan_table
+
+QUICK_MODELS = {
+    "gbt_a": settings_for("gbt_a", trees=5, depth=4, learning_rate=0.3),
+    "gbt_b": settings_for("gbt_b", trees=5, depth=3, learning_rate=0.3),
+    "random_forest": settings_for("random_forest", trees=5, depth=5),
+}
 
 _open: dict[tuple[str, str], "Workspace"] = {}
 
@@ -65,6 +77,64 @@ class Workspace:
             for name, (table, encoding) in tables.items()
         }
 
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return materialize(profiles.household_profile(self.features), "profiles")
+
+    @cached_property
+    def bucketed(self) -> DataFrame:
+        """Profiles with a fixed cluster number from the household id, labelled."""
+        number = F.substring(HOUSEHOLD, 4, 6).cast("int") % 4
+        return profiles.label_clusters(self.profiles.withColumn("cluster", number))
+
+    @cached_property
+    def naive(self) -> DataFrame:
+        """Test rows with last week's value as the prediction."""
+        test = eda.time_split(self.features)[1]
+        return test.withColumn("prediction", F.col(lag_column(7)))
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        """Feature rows with a fixed-threshold anomaly score."""
+        score = (60 - F.col(TARGET)) / 60
+        return self.features.withColumn("anomaly_score", score).withColumn(
+            "is_anomaly", F.col("anomaly_score") < 0
+        )
+
+    @cached_property
+    def trained(self) -> Trained:
+        """All models, with small ensembles in place of the published sizes."""
+        return train_all(self.features, QUICK_MODELS, restarts=2)
+
+    @cached_property
+    def saved(self) -> str:
+        return save_all(self.trained, new_path(self.spark, "models"))
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return document_table(scan_table(self.spark, self.folder, "documents"))
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return materialize(retrieval.chunk_text(self.documents), "chunks")
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        items = scan_table(self.spark, self.folder, "benchmark")
+        return items.select(
+            F.col("item_id").alias("question_id"),
+            F.col("text").alias("question"),
+            F.col("item_id").alias("conv_id"),
+        )
+
+    @cached_property
+    def retrieved(self) -> DataFrame:
+        return materialize(retrieval.retrieve(self.chunks, self.questions), "retrieved")
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        return scan_table(self.spark, self.folder, "conversations")
+
 
 def workspace(spark: SparkSession, folder: str) -> Workspace:
     """The session's workspace for a source folder."""
