@@ -237,7 +237,7 @@ def peak_insights(ws):
 @query(
     "daily_panel_mean",
     f"SELECT 'AGGREGATED' AS household_id, day, {listed(NUMERIC, 'avg({0}) AS {0}')} FROM features GROUP BY day",
-    rounds=rounded(NUMERIC, 10),
+    rounds=rounded(NUMERIC, 11),
 )
 def daily_panel_mean(ws):
     return eda.daily_panel_mean(ws.features)

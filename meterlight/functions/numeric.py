@@ -28,6 +28,16 @@ def share_percent(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0)) * 100
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation over rows with both values; null where either side is constant.
+
+    The built-in ``corr`` fails on a constant column under ANSI rules.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def corrected_skewness(value: Column) -> Column:
     """Small-sample corrected skewness (G1); Spark's built-in is the population form."""
     n = F.count(value).cast("double")

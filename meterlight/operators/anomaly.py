@@ -8,7 +8,6 @@ vectorised function over the eight input columns; all other columns stay in the
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlight.functions import calendar
+from meterlight.functions import calendar, isolation
 from meterlight.functions.numeric import percent_of
 from meterlight.functions.quantiles import exact_quantiles
 from meterlight.operators.profiles import scale_parameters, scaled
@@ -34,12 +33,11 @@ CALENDAR_INPUTS = {
     "month": F.month,
     "is_weekend": calendar.is_weekend,
 }
+# What the reports over detected rows look at.
+REPORT_COLUMNS = [HOUSEHOLD, DAY, TARGET, "energy_mean", "energy_max"]
 # Draw somewhat more rows than a tree needs, then keep exactly the sample size.
 SURPLUS = 1.3
 _HASH_RANGE = 1 << 40
-NODE_SCHEMA = (
-    "tree int, node int, feature int, threshold double, left int, right int, path double"
-)
 
 
 @dataclass(frozen=True)
@@ -65,50 +63,6 @@ def anomaly_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*kept, *inputs).na.fill(0, inputs)
 
 
-def average_path(n: float) -> float:
-    """Mean depth of an unsuccessful search among ``n`` points."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
-
-
-def _grower(inputs: list[str], sample_size: int, seed: int):
-    limit = math.ceil(math.log2(max(sample_size, 2)))
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        """Random axis-parallel splits of one tree's sample, as a table of nodes."""
-        rows = rows.sort_values(["draw", *inputs])
-        tree = int(rows["tree"].iloc[0])
-        random = np.random.default_rng([seed, tree])
-        points = rows[inputs].to_numpy(dtype="float64")
-        nodes: list[list] = []
-        waiting = [(np.arange(len(points)), 0, None)]
-        while waiting:
-            members, depth, parent = waiting.pop()
-            here = len(nodes)
-            if parent is not None:
-                nodes[parent[0]][parent[1]] = here
-            part = points[members]
-            low, high = part.min(axis=0), part.max(axis=0)
-            choices = np.flatnonzero(high > low)
-            if depth >= limit or len(choices) == 0:
-                length = depth + average_path(len(members))
-                nodes.append([tree, here, 0, math.inf, here, here, length])
-                continue
-            feature = int(random.choice(choices))
-            threshold = float(random.uniform(low[feature], high[feature]))
-            nodes.append([tree, here, feature, threshold, -1, -1, 0.0])
-            is_left = part[:, feature] <= threshold
-            waiting.append((members[~is_left], depth + 1, (here, 5)))
-            waiting.append((members[is_left], depth + 1, (here, 4)))
-        names = ["tree", "node", "feature", "threshold", "left", "right", "path"]
-        return pd.DataFrame(nodes, columns=names)
-
-    return grow
-
-
 def _draw(seed: int, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(_HASH_RANGE))
 
@@ -166,72 +120,35 @@ def fit_forest(
     sample_size = min(sample_size, rows)
     points = data.select(*keys, *scaled(inputs, scaling))
     samples = tree_samples(points, inputs, rows, trees, sample_size, seed)
-    grown = samples.groupBy("tree").applyInPandas(
-        _grower(inputs, sample_size, seed), NODE_SCHEMA
-    )
-    nodes = materialize(grown, "forest")
-    return Forest(nodes, tuple(inputs), scaling, trees, sample_size, contamination)
+    grow_tree, limit = isolation.grow_tree, isolation.depth_limit(sample_size)
 
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        return grow_tree(rows, inputs, limit, seed)
 
-@dataclass(frozen=True)
-class _Arrays:
-    """All trees' nodes in flat arrays; a leaf's children are the leaf itself."""
-
-    roots: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    child: np.ndarray
-    path: np.ndarray
-    depth: int
-    scale: float
+    grown = samples.groupBy("tree").applyInPandas(grow, isolation.NODE_SCHEMA)
+    nodes = materialize(grown, "forest")
+    return Forest(nodes, tuple(inputs), scaling, trees, sample_size, contamination)
 
 
-def _arrays(forest: Forest) -> _Arrays:
+def _nodes(forest: Forest) -> dict:
+    """The forest on the driver; its size is bounded by its parameters and checked."""
     most = forest.trees * (2 * forest.sample_size - 1)
-    table = forest.nodes.limit(most + 1).toPandas().sort_values(["tree", "node"])
+    table = forest.nodes.limit(most + 1).toPandas()
     if len(table) > most:
         raise ValueError("more nodes than the forest's parameters allow")
-    first = np.flatnonzero(table["node"].to_numpy() == 0)
-    start = np.repeat(first, np.diff(np.append(first, len(table))))
-    child = np.empty(2 * len(table), dtype=np.int32)
-    child[0::2] = table["left"].to_numpy() + start
-    child[1::2] = table["right"].to_numpy() + start
-    return _Arrays(
-        first.astype(np.int32),
-        table["feature"].to_numpy(np.int32),
-        table["threshold"].to_numpy(),
-        child,
-        table["path"].to_numpy(),
-        math.ceil(math.log2(max(forest.sample_size, 2))),
-        average_path(forest.sample_size) or 1.0,
-    )
-
-
-def _score_points(arrays: _Arrays, points: np.ndarray) -> np.ndarray:
-    """Raw score of every point: -2 ** -(mean path length / expected length)."""
-    count, width = points.shape
-    flat = np.ascontiguousarray(points).ravel()
-    base = np.arange(count, dtype=np.int32) * width
-    total = np.zeros(count)
-    for root in arrays.roots:
-        at = np.full(count, root, dtype=np.int32)
-        for _ in range(arrays.depth):
-            beyond = flat.take(base + arrays.feature.take(at)) > arrays.threshold.take(at)
-            at = arrays.child.take(2 * at + beyond)
-        total += arrays.path.take(at)
-    return -np.exp2(-total / len(arrays.roots) / arrays.scale)
+    return isolation.flat_forest(table, forest.sample_size)
 
 
 def raw_score(forest: Forest, spark: SparkSession) -> Column:
     """Column expression over the forest's (unscaled) input columns."""
-    shared = spark.sparkContext.broadcast(_arrays(forest))
+    shared = spark.sparkContext.broadcast(_nodes(forest))
+    score_points = isolation.score_points
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        arrays = shared.value
         for columns in batches:
             points = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-            yield pd.Series(_score_points(arrays, points))
+            yield pd.Series(score_points(shared.value, points))
 
     return score(*scaled(list(forest.inputs), forest.scaling))
 
@@ -269,10 +186,21 @@ def detect(forest: Forest, df: DataFrame) -> DataFrame:
     return flagged(forest, with_raw_score(forest, df))
 
 
-def fit_detect(df: DataFrame, contamination: float = CONTAMINATION, **options):
-    """Fit on a table and flag its rows; the scores are computed and stored once."""
+def fit_detect(
+    df: DataFrame,
+    contamination: float = CONTAMINATION,
+    keep: list[str] | None = None,
+    **options,
+) -> tuple[Forest, DataFrame]:
+    """Fit on a table and flag its rows; the scores are computed and stored once.
+
+    ``keep`` names the columns stored beside the scores; reports need only a few.
+    """
     forest = fit_forest(df, contamination, **options)
-    scored = materialize(with_raw_score(forest, df), "scores")
+    scored = with_raw_score(forest, df)
+    if keep is not None:
+        scored = scored.select(*keep, "raw_score")
+    scored = materialize(scored, "scores")
     forest = calibrate(forest, scored)
     return forest, flagged(forest, scored)
 
@@ -288,7 +216,7 @@ def sensitivity_refit(
     contamination = sensitivity / 100
     if contamination == stored.contamination:
         return detect(stored, df)
-    return fit_detect(df, contamination, **options)[1]
+    return fit_detect(df, contamination, REPORT_COLUMNS, **options)[1]
 
 
 # Reports over detected rows
@@ -336,7 +264,7 @@ def anomaly_timeline(detected: DataFrame, household: str | None = None) -> DataF
 
 
 def top_anomalies(detected: DataFrame, n: int = 100) -> DataFrame:
-    wanted = [HOUSEHOLD, TARGET, "energy_mean", "energy_max", "anomaly_score"]
+    wanted = [c for c in REPORT_COLUMNS if c != DAY] + ["anomaly_score"]
     return (
         detected.filter("is_anomaly")
         .orderBy("anomaly_score", HOUSEHOLD, DAY)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.functions import calendar
-from meterlight.functions.numeric import number_or_null
+from meterlight.functions.numeric import number_or_null, pearson
 from meterlight.functions.quantiles import exact_quantiles, lookup
 from meterlight.operators.joins import with_scalar
 from meterlight.schema import (
@@ -261,7 +261,7 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     varies = {c for c in columns if facts[c]}
     if facts["nulls"]:
         row = doubles.agg(
-            *[F.corr(x, y).alias(f"r{i}") for i, (x, y) in enumerate(pairs) if x != y],
+            *[pearson(x, y).alias(f"r{i}") for i, (x, y) in enumerate(pairs) if x != y],
         ).first()
         values = [None if x == y else row[f"r{i}"] for i, (x, y) in enumerate(pairs)]
     else:

@@ -22,7 +22,7 @@ DEFAULT_SYSTEM_PROMPT = (
     "Use only the given context, and say so when it does not hold the answer."
 )
 CHUNK_KEY = ["doc_id", "chunk_ord"]
-# Keywords and tokens meet on this many leading or contained characters.
+# Keywords and tokens meet on substrings of up to this many characters.
 GRAM = 3
 
 
@@ -137,29 +137,35 @@ def keyword_score(chunks: DataFrame, question: str) -> DataFrame:
     lowered = question.lower()
     words = set(lowered.split())
     words = sorted(words - set(T.STOPWORDS) or words)
-    body = F.lower("content")
+    body = F.col("body")
 
     def of_word(word: str) -> Column:
         count = T.occurrences(body, F.lit(word))
-        return count + F.when(count > 0, T.KEYWORD_BONUS).otherwise(0)
+        return count + F.when(F.contains(body, F.lit(word)), T.KEYWORD_BONUS).otherwise(0)
 
     whole = F.when(F.contains(body, F.lit(lowered)), T.QUESTION_BONUS).otherwise(0)
     score = reduce(lambda a, b: a + b, [of_word(w) for w in words], whole.cast("long"))
-    return chunks.withColumn("score", score)
+    prepared = chunks.withColumn("body", F.lower("content"))
+    return prepared.withColumn("score", score).drop("body")
 
 
 def retrieve_top_k(chunks: DataFrame, question: str, k: int = TOP_K) -> DataFrame:
     """Best chunks for one question by score then position; the first ones if none score.
 
-    Both branches are top-n selections, which keep n rows per task.
+    One top-n selection, which keeps n rows per task. Where nothing scores, that order is
+    the order of the chunks, so the same few rows answer both cases.
     """
-    scored = keyword_score(chunks, question)
-    best = (
-        scored.filter("score > 0").orderBy(F.desc("score"), *CHUNK_KEY).limit(k)
+    order = [F.desc("score"), *CHUNK_KEY]
+    top = keyword_score(chunks, question).orderBy(*order).limit(max(k, FALLBACK_CHUNKS))
+    placed = top.withColumns(
+        {
+            "place": F.row_number().over(Window.orderBy(*order)),
+            "best": F.max("score").over(Window.orderBy(*order)),
+        }
     )
-    none_found = best.agg(F.count("*") == 0).scalar()
-    first = scored.orderBy(*CHUNK_KEY).limit(FALLBACK_CHUNKS).filter(none_found)
-    return best.unionByName(first)
+    scoring = (F.col("score") > 0) & (F.col("place") <= k)
+    fallback = (F.col("best") == 0) & (F.col("place") <= FALLBACK_CHUNKS)
+    return placed.filter(scoring | fallback).drop("place", "best")
 
 
 # Scores for a table of questions
@@ -173,32 +179,42 @@ def question_keywords(questions: DataFrame) -> DataFrame:
     )
 
 
-def _grams(token: Column) -> Column:
-    """Distinct substrings of up to ``GRAM`` characters."""
-    starts = F.sequence(F.lit(1), F.length(token))
-
-    def of_length(n: int) -> Column:
-        return F.transform(starts, lambda start: F.substring(token, start, F.lit(n)))
-
-    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, GRAM + 1)]))
+def _substrings(text: Column, length: Column) -> Column:
+    """Distinct substrings of ``text`` that have the given length."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - length + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda start: F.substring(text, start, length)))
 
 
 def keyword_tokens(chunk_tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(keyword, token, per_token): which distinct tokens contain which keyword, how often.
 
-    A keyword has no white space, so it only ever occurs inside a token. Candidates meet by
-    an equality join on the keyword's first characters and are then checked, so no keyword
+    A keyword has no white space, so it only ever occurs inside a token, and a token that
+    contains it contains all its short substrings. Candidates meet by an equality join on
+    the keyword's substring that the fewest tokens share, and are then checked; no keyword
     is compared with every token.
     """
     vocabulary = chunk_tokens.select("token").distinct()
-    wanted = words.select("keyword").distinct().withColumn("gram", F.left("keyword", F.lit(GRAM)))
-    needed = wanted.select("gram").distinct()
-    by_gram = vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram")).join(
-        needed, "gram", "left_semi"
+    wanted = words.select("keyword").distinct()
+    length = F.least(F.length("keyword"), F.lit(GRAM))
+    parts = wanted.select(
+        "keyword", F.explode(_substrings(F.col("keyword"), length)).alias("gram")
+    )
+    token = F.col("token")
+    grams = F.array_distinct(
+        F.concat(*[_substrings(token, F.lit(n)) for n in range(1, GRAM + 1)])
+    )
+    by_gram = vocabulary.select("token", F.explode(grams).alias("gram")).join(
+        parts.select("gram").distinct(), "gram", "left_semi"
+    )
+    shared_by = by_gram.groupBy("gram").agg(F.count("*").alias("tokens"))
+    rarest = (
+        parts.join(shared_by, "gram", "left")
+        .groupBy("keyword")
+        .agg(F.min_by("gram", F.struct(F.coalesce("tokens", F.lit(0)), "gram")).alias("gram"))
     )
-    count = T.occurrences(F.col("token"), F.col("keyword"))
+    count = T.occurrences(token, F.col("keyword"))
     return (
-        by_gram.join(wanted, "gram")
+        by_gram.join(rarest, "gram")
         .select("keyword", "token", count.alias("per_token"))
         .filter("per_token > 0")
     )

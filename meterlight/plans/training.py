@@ -52,7 +52,7 @@ def train_all(
     board = materialize(board, "leaderboard")
     clusterer, vectors = train_clusterer(features, restarts=restarts)
     elbow = profiles.elbow(vectors, k_range, restarts)
-    forest, detected = anomaly.fit_detect(features, contamination)
+    forest, detected = anomaly.fit_detect(features, contamination, anomaly.REPORT_COLUMNS)
     best = metrics.best_model(board).first()["best_model"]
     return Trained(models, board, best, clusterer, elbow, forest, detected)
 

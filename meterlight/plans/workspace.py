@@ -16,7 +16,7 @@ from meterlight.operators.forecast import settings_for
 from meterlight.plans.panel import Panel, build_panel
 from meterlight.plans.training import Trained, save_all, train_all
 from meterlight.schema import HOUSEHOLD, TARGET, lag_column
-from meterlight.session import materialize, new_path
+from meterlight.session import materialize, new_path, spread
 from meterlight.sources import sinks, testbed
 from meterlight.sources.readers import document_table, scan_table
 
@@ -116,7 +116,7 @@ class Workspace:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return materialize(retrieval.chunk_text(self.documents), "chunks")
+        return materialize(retrieval.chunk_text(spread(self.documents)), "chunks")
 
     @cached_property
     def questions(self) -> DataFrame:
