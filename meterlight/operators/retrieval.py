@@ -224,11 +224,9 @@ def keyword_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, doc_id, chunk_ord, score) for every pair with a positive score.
 
     Equality joins through an inverted index: the chunks' tokens meet the tokens known to
-    hold a keyword, then the questions asking for that keyword. The table of matching tokens
-    is stored, so Catalyst knows its size: a small one is broadcast and the corpus is not
-    shuffled before it is reduced to hits. The whole-question bonus is only checked where
-    all of a question's keywords occur, which a chunk holding the whole question must
-    satisfy.
+    hold a keyword, then the questions asking for that keyword. The tables that decide
+    which chunks matter are stored first, so Catalyst knows their sizes: small ones are
+    broadcast, and the corpus is read without being shuffled before it is reduced to hits.
     """
     words = question_keywords(questions)
     tokens = chunks.select(
@@ -248,21 +246,28 @@ def keyword_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
             (F.count("*") == F.max("n_keywords")).alias("all_present"),
         )
     )
-    return _with_whole_bonus(pairs, chunks, questions)
+    pairs = materialize(pairs, "keyword-pairs")
+    whole = whole_questions(pairs.filter("all_present"), chunks, questions)
+    score = F.col("base") + F.coalesce("bonus", F.lit(0))
+    key = ["question_id", *CHUNK_KEY]
+    return pairs.join(whole, key, "left").select(*key, score.cast("long").alias("score"))
 
 
-def _with_whole_bonus(pairs: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def whole_questions(pairs: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The bonus for pairs whose chunk holds the whole question.
+
+    Only pairs with all the keywords are looked at, which such a chunk must have.
+    """
     key = ["question_id", *CHUNK_KEY]
-    whole = (
-        pairs.filter("all_present")
-        .select(*key)
-        .join(questions.select("question_id", F.lower("question").alias("asked")), "question_id")
-        .join(chunks.select(*CHUNK_KEY, F.lower("content").alias("body")), CHUNK_KEY)
+    candidates = materialize(pairs.select(*key), "whole-candidates")
+    bodies = chunks.select(*CHUNK_KEY, F.lower("content").alias("body"))
+    asked = questions.select("question_id", F.lower("question").alias("asked"))
+    return (
+        bodies.join(candidates, CHUNK_KEY)
+        .join(asked, "question_id")
         .filter(F.contains("body", "asked"))
         .select(*key, F.lit(T.QUESTION_BONUS).alias("bonus"))
     )
-    score = F.col("base") + F.coalesce("bonus", F.lit(0))
-    return pairs.join(whole, key, "left").select(*key, score.cast("long").alias("score"))
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -270,12 +275,12 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFra
 
     A question without any scored chunk gets the first chunks with score zero. The top-k
     is limited per map task before the shuffle, so a keyword found in most chunks does not
-    gather them in one task.
+    gather them in one task. The chosen keys are stored before the texts are fetched.
     """
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), *CHUNK_KEY)
     ranked = keyword_scores(chunks, questions).withColumn("rank", F.row_number().over(order))
-    best = ranked.filter(F.col("rank") <= k)
-    first = chunks.orderBy(*CHUNK_KEY).limit(FALLBACK_CHUNKS)
+    best = materialize(ranked.filter(F.col("rank") <= k), "retrieved-keys")
+    first = chunks.select(*CHUNK_KEY).orderBy(*CHUNK_KEY).limit(FALLBACK_CHUNKS)
     position = F.row_number().over(Window.orderBy(*CHUNK_KEY))
     slots = first.select(*CHUNK_KEY, position.alias("rank"), F.lit(0).cast("long").alias("score"))
     without = questions.select("question_id").join(
@@ -284,10 +289,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFra
     fallback = without.withColumn(
         "rank", F.explode(F.sequence(F.lit(1), F.lit(FALLBACK_CHUNKS)))
     ).join(F.broadcast(slots), "rank")
-    chosen = best.unionByName(fallback.select(*best.columns))
-    return chosen.join(chunks, CHUNK_KEY).select(
-        "question_id", "rank", *CHUNK_KEY, "source", "content", "score"
-    )
+
+    def with_text(keys: DataFrame) -> DataFrame:
+        return chunks.join(keys, CHUNK_KEY).select(
+            "question_id", "rank", *CHUNK_KEY, "source", "content", "score"
+        )
+
+    return with_text(best).unionByName(with_text(fallback))
 
 
 def build_context(retrieved: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -139,6 +139,6 @@ class Workspace:
 def workspace(spark: SparkSession, folder: str) -> Workspace:
     """The session's workspace for a source folder."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _open:
+    if key not in _open or _open[key].spark is not spark:
         _open[key] = Workspace(spark, folder)
     return _open[key]
