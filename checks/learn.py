@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from meterlight.operators import anomaly, audit, eda, forecast, profiles
+from meterlight.operators import anomaly, eda, forecast, profiles
 from meterlight.plans import reports, training
 from meterlight.plans.workspace import QUICK_MODELS
 from meterlight.sources import model_store, sinks
@@ -105,11 +105,6 @@ def kmeans_fit(ws):
     return ws.trained.clusterer.labelled
 
 
-@query("audit_clusters")
-def audit_clusters(ws):
-    return audit.audit_clusters(ws.bucketed, profiles.profile_vectors(ws.profiles))
-
-
 @query("clustering_summary")
 def clustering_summary(ws):
     return profiles.cluster_summary(ws.trained.clusterer.labelled)

@@ -388,3 +388,18 @@ def sink_table(ws):
     path = sinks.write_csv(naive_leaderboard(ws), new_path(ws.spark, "leaderboard"))
     schema = "Model string, MAE double, RMSE double, MAPE double, R2 double"
     return ws.spark.read.schema(schema).csv(path, header=True)
+
+
+@query(
+    "sink_by_month",
+    """SELECT strftime(day, '%Y-%m') AS year_month, count(*) AS n, sum(energy_sum) AS total FROM features
+WHERE year(day) = 1998 GROUP BY 1""",
+    rounds="total",
+)
+def sink_by_month(ws):
+    """The feature table written in month folders; one year read back by its folders."""
+    path = sinks.write_by_month(ws.features, new_path(ws.spark, "by-month"))
+    year = ws.spark.read.parquet(path).filter(F.col("year_month").startswith("1998"))
+    return year.groupBy("year_month").agg(
+        F.count("*").alias("n"), F.sum("energy_sum").alias("total")
+    )

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlight.functions.calendar import month_key
-from meterlight.schema import DAY
+from meterlight.schema import DAY, HOUSEHOLD
+
+# Groups of rows per month when writing month folders.
+MONTH_BUCKETS = 64
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
@@ -22,13 +25,15 @@ def write_table(df: DataFrame, path: str) -> str:
 def write_by_month(df: DataFrame, path: str) -> str:
     """Panel partitioned by month, so that a date filter skips whole folders.
 
-    Each task's rows are sorted by month and household, so a task holds one file open at a
-    time; ``maxRecordsPerFile`` splits months of any size.
+    A month is spread over ``MONTH_BUCKETS`` groups of rows by household and day, so one
+    busy month or household fills several tasks. A task's rows are sorted by month, so it
+    holds one file open at a time.
     """
+    bucket = F.pmod(F.xxhash64(HOUSEHOLD, DAY), F.lit(MONTH_BUCKETS))
     (
         df.withColumn("year_month", month_key(F.col(DAY)))
-        .repartition("year_month", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(64)))
-        .sortWithinPartitions("year_month", *df.columns[:2])
+        .repartition("year_month", bucket)
+        .sortWithinPartitions("year_month", HOUSEHOLD, DAY)
         .write.mode("overwrite")
         .partitionBy("year_month")
         .option("maxRecordsPerFile", 5_000_000)

@@ -5,6 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from meterlight.functions.isolation import average_path
 from meterlight.operators import anomaly, audit, eda, forecast, insights, metrics, profiles
 from meterlight.plans import reports, training
 from meterlight.schema import PROFILE_COLUMNS
@@ -174,6 +175,35 @@ def test_forest_finds_spikes(spark, spiky):
     assert sorted(r.anomaly_score for r in again.collect()) == sorted(r.anomaly_score for r in rows)
 
 
+def test_scores_follow_the_node_table(spark, spiky):
+    """A plain walk down each tree gives the score of the vectorised one."""
+    forest, detected = anomaly.fit_detect(spiky, 0.05, trees=12, sample_size=32)
+    nodes = {(n.tree, n.node): n for n in forest.nodes.collect()}
+    inputs = anomaly.anomaly_features(spiky, ["household_id", "day"])
+    scores = {(r.household_id, r.day): r.anomaly_score for r in detected.collect()}
+    for row in inputs.limit(25).collect():
+        point = [(row[c] - m) / s for c, (m, s) in forest.scaling.items()]
+        total = 0.0
+        for tree in range(12):
+            node = nodes[(tree, 0)]
+            while node.left != node.node:
+                side = node.left if point[node.feature] <= node.threshold else node.right
+                node = nodes[(tree, side)]
+            total += node.path
+        raw = -(2 ** (-total / 12 / average_path(32)))
+        assert scores[(row.household_id, row.day)] == pytest.approx(raw - forest.offset)
+
+
+def test_households_join_the_nearest_centre(spark, work):
+    clusterer = work.trained.clusterer
+    centres = clusterer.model.clusterCenters()
+    vectors = profiles.profile_vectors(work.profiles).collect()
+    found = {r.household_id: r.cluster for r in clusterer.labelled.collect()}
+    for r in vectors:
+        gaps = [((r.features.toArray() - c) ** 2).sum() for c in centres]
+        assert gaps[found[r.household_id]] == pytest.approx(min(gaps))
+
+
 @pytest.mark.parametrize("sample", [16, 256])
 def test_trees_get_at_most_the_sample(spark, spiky, sample):
     """A thinned table (16) and one offered to every tree (256)."""
