@@ -290,7 +290,8 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 def score_histogram(df: DataFrame, value: str, bins: int = 60) -> DataFrame:
     """Equi-width histogram between the smallest and the largest value."""
     data = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    ranged = with_scalar(data, data, low=F.min("v"), high=F.max("v"))
+    ends = F.struct(F.min("v").alias("low"), F.max("v").alias("high"))
+    ranged = with_scalar(data, data, ends=ends).select("v", "ends.low", "ends.high")
     position = F.try_divide(F.lit(bins) * (F.col("v") - F.col("low")), F.col("high") - F.col("low"))
     bin_number = F.least(F.floor(F.coalesce(position, F.lit(0.0))).cast("int"), F.lit(bins - 1))
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from meterlight.functions import calendar
@@ -60,13 +60,13 @@ def household_profile(df: DataFrame) -> DataFrame:
         *[mean_where(calendar.season(day) == s).alias(f"season_{s}") for s in range(4)],
         *[mean_where(F.month(day) == m).alias(f"month_{m}") for m in range(1, 13)],
     )
-    # Which seasons and months exist anywhere: one bit per season and month, one row.
-    seen = with_scalar(
-        raw,
-        df,
-        season_bits=F.bit_or(F.call_function("shiftleft", F.lit(1), calendar.season(day))),
-        month_bits=F.bit_or(F.call_function("shiftleft", F.lit(1), F.month(day))),
+    # Which seasons and months exist anywhere: one bit each, from a scan of the days alone.
+    one = F.lit(1)
+    bits = F.struct(
+        F.bit_or(F.call_function("shiftleft", one, calendar.season(day))).alias("season"),
+        F.bit_or(F.call_function("shiftleft", one, F.month(day))).alias("month"),
     )
+    seen = with_scalar(raw, df, seen=bits)
     seasons = [F.coalesce(F.col(f"season_{s}"), F.lit(0.0)) for s in range(4)]
     months = [F.coalesce(F.col(f"month_{m}"), F.lit(0.0)) for m in range(1, 13)]
 
@@ -80,7 +80,7 @@ def household_profile(df: DataFrame) -> DataFrame:
             )
         )
 
-    season_means = present(seasons, "season_bits", 0)
+    season_means = present(seasons, "seen.season", 0)
     return seen.select(
         HOUSEHOLD,
         "mean_energy",
@@ -92,7 +92,7 @@ def household_profile(df: DataFrame) -> DataFrame:
         safe_ratio(F.col("weekend_avg"), F.col("weekday_avg")).alias("weekend_ratio"),
         F.coalesce(_array_std(season_means), F.lit(0.0)).alias("seasonal_variation"),
         F.array_max(season_means).alias("peak_season_energy"),
-        F.array_max(present(months, "month_bits", 1)).alias("peak_month_energy"),
+        F.array_max(present(months, "seen.month", 1)).alias("peak_month_energy"),
     ).na.fill(0)
 
 
@@ -202,28 +202,26 @@ def assign_clusters(profiles: DataFrame, vectors: DataFrame, model: KMeansModel)
 
 
 def cluster_labels(clustered: DataFrame) -> DataFrame:
-    """(cluster, cluster_label): highest and lowest mean, then the most weekend-heavy."""
+    """(cluster, cluster_label): highest and lowest mean, then the most weekend-heavy.
+
+    The windows run over one row per cluster.
+    """
     means = clustered.groupBy("cluster").agg(
-        F.avg("mean_energy").alias("m"), F.avg("weekend_ratio").alias("w")
+        F.avg("mean_energy").alias("mean"), F.avg("weekend_ratio").alias("ratio")
     )
-    cluster = F.col("cluster")
-    edged = with_scalar(
-        means,
-        means,
-        high=F.max_by(cluster, F.struct("m", "cluster")),
-        low=F.min_by(cluster, F.struct("m", "cluster")),
-    )
-    rest = edged.filter((cluster != F.col("high")) & (cluster != F.col("low")))
-    ranked = with_scalar(
-        edged, rest, weekend=F.max_by(cluster, F.struct(F.col("w"), -F.col("m"), -cluster))
+    from_low = F.row_number().over(Window.orderBy("mean", "cluster"))
+    from_high = F.row_number().over(Window.orderBy(F.desc("mean"), F.desc("cluster")))
+    placed = means.withColumns({"is_low": from_low == 1, "is_high": from_high == 1}).withColumn(
+        "is_edge", F.col("is_low") | F.col("is_high")
     )
+    by_ratio = Window.partitionBy("is_edge").orderBy(F.desc("ratio"), "mean", "cluster")
     label = (
-        F.when(cluster == F.col("low"), LOW)
-        .when(cluster == F.col("high"), HIGH)
-        .when(cluster == F.col("weekend"), WEEKEND)
+        F.when(F.col("is_low"), LOW)
+        .when(F.col("is_high"), HIGH)
+        .when(F.row_number().over(by_ratio) == 1, WEEKEND)
         .otherwise(BALANCED)
     )
-    return ranked.select("cluster", label.alias("cluster_label"))
+    return placed.select("cluster", label.alias("cluster_label"))
 
 
 def label_clusters(clustered: DataFrame) -> DataFrame:
@@ -238,15 +236,19 @@ def cluster_summary(labelled: DataFrame) -> DataFrame:
     )
 
 
+def all_clusters() -> WindowSpec:
+    """The whole of a table with one row per cluster."""
+    return Window.partitionBy()
+
+
 def radar_normalize(summary: DataFrame) -> DataFrame:
     """Summary columns divided by their maximum where that is positive."""
-    peaks = summary.agg(F.struct(*[F.max(c).alias(c) for c in PROFILE_COLUMNS])).scalar()
-    return summary.withColumns(
-        {
-            c: F.when(peaks[c] > 0, F.col(c) / peaks[c]).otherwise(F.col(c))
-            for c in PROFILE_COLUMNS
-        }
-    )
+
+    def share(column: str) -> Column:
+        peak = F.max(column).over(all_clusters())
+        return F.when(peak > 0, F.col(column) / peak).otherwise(F.col(column))
+
+    return summary.withColumns({c: share(c) for c in PROFILE_COLUMNS})
 
 
 def cluster_scatter(labelled: DataFrame, x: str = "mean_energy", y: str = "std_energy") -> DataFrame:
@@ -296,10 +298,9 @@ def cluster_savings(summary: DataFrame, segment: list[str] | None = None) -> Dat
 def cluster_balance(labelled: DataFrame) -> DataFrame:
     """Households and share per cluster; the smallest share is flagged below 5 %."""
     counts = labelled.groupBy("cluster", "cluster_label").agg(F.count("*").alias("households"))
-    shares = with_scalar(counts, counts, total=F.sum("households"), least=F.min("households"))
-    total = F.col("total")
-    smallest = percent_of(F.col("least"), total)
-    return shares.select(
+    total = F.sum("households").over(all_clusters())
+    smallest = percent_of(F.min("households").over(all_clusters()), total)
+    return counts.select(
         "cluster",
         "cluster_label",
         "households",

@@ -85,7 +85,8 @@ class Workspace:
     def bucketed(self) -> DataFrame:
         """Profiles with a fixed cluster number from the household id, labelled."""
         number = F.substring(HOUSEHOLD, 4, 6).cast("int") % 4
-        return profiles.label_clusters(self.profiles.withColumn("cluster", number))
+        clustered = self.profiles.withColumn("cluster", number)
+        return materialize(profiles.label_clusters(clustered), "bucketed")
 
     @cached_property
     def naive(self) -> DataFrame:
