@@ -14,9 +14,11 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlight.session import materialize
+
 BINS = 1024
 DIRECT_ROWS = 200_000
 MAX_GROUPS = 64
@@ -36,14 +38,14 @@ class _Search:
         return self.low == self.high
 
 
-def _bin_of(value: Column, low: float, high: float, bins: int) -> Column:
-    # Halving before the subtraction keeps the width finite for any finite pair of ends.
-    width = high / 2 - low / 2
-    if width == 0.0:
-        return F.when(value <= low, 0).otherwise(bins - 1)
-    position = (value / 2 - F.lit(low / 2)) / F.lit(width) * bins
+def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """Equi-width bin of a value in ``[low, high]``.
+
+    Halving before the subtraction keeps the width finite for any finite pair of ends. The
+    two ends always part, so every pass narrows the span.
+    """
+    position = F.try_divide(value / 2 - low / 2, high / 2 - low / 2) * bins
     inner = F.least(F.greatest(F.floor(position).cast("int"), F.lit(0)), F.lit(bins - 1))
-    # The ends always part, so every pass narrows the span.
     return F.when(value <= low, 0).when(value >= high, bins - 1).otherwise(inner)
 
 
@@ -56,7 +58,8 @@ def _refine(df: DataFrame, searches: list[_Search], bins: int) -> dict[_Search,
         F.when(
             F.col("group").eqNullSafe(F.lit(group)) & F.col("value").between(low, high),
             F.struct(
-                F.lit(i).alias("span"), _bin_of(F.col("value"), low, high, bins).alias("bin")
+                F.lit(i).alias("span"),
+                _bin_of(F.col("value"), F.lit(low), F.lit(high), bins).alias("bin"),
             ),
         )
         for i, (group, low, high) in enumerate(spans)
@@ -142,6 +145,82 @@ def exact_median(df: DataFrame, value: str | Column, **options) -> float | None:
     return answer[0][0] if answer else None
 
 
+def _narrowed(data: DataFrame, state: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """``state`` with every search moved to the bin its rank falls in.
+
+    ``state`` has one row per key and rank: the rank among the values in ``[low, high]``,
+    and how many those are.
+    """
+    search = [*keys, "target"]
+    per_bin = (
+        data.join(state, keys)
+        .filter(F.col("value").between(F.col("low"), F.col("high")))
+        .withColumn("bin", _bin_of(F.col("value"), F.col("low"), F.col("high"), bins))
+        .groupBy(*search, "rank", "bin")
+        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    earlier = Window.partitionBy(*search).orderBy("bin").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return (
+        per_bin.withColumn("rank", F.col("rank") - before)
+        .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n")))
+        .drop("bin")
+    )
+
+
+def grouped_median(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    bounded_rows: int = DIRECT_ROWS,
+    bins: int = BINS,
+) -> DataFrame:
+    """(keys, median) for many groups of any size.
+
+    Group sizes are counted first. Groups of a bounded size take the built-in median.
+    Otherwise every group's middle ranks are searched as in ``exact_quantiles``, with the
+    searches kept in a stored table of at most two rows per group, until no search spans
+    more than ``bounded_rows`` rows.
+    """
+    data = df.select(*keys, F.col(value).cast("double").alias("value")).filter(
+        F.col("value").isNotNull() & ~F.isnan("value")
+    )
+    sizes = materialize(
+        data.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+        ),
+        "group-sizes",
+    )
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= bounded_rows:
+        return data.groupBy(*keys).agg(F.median("value").alias("median"))
+
+    middle = (F.col("n") - 1) / 2
+    ranks = F.array_distinct(F.array(F.floor(middle), F.ceil(middle)))
+    state = sizes.withColumn("target", F.explode(ranks)).withColumn("rank", F.col("target"))
+    while True:
+        state = materialize(_narrowed(data, state, keys, bins), "median-search")
+        widest = state.filter("low < high").agg(F.max("n")).first()[0]
+        if widest is None or widest <= bounded_rows:
+            break
+
+    search = [*keys, "target"]
+    inside = (
+        data.join(state, keys)
+        .filter(F.col("value").between(F.col("low"), F.col("high")))
+        .groupBy(*search, "rank", "value")
+        .agg(F.count("*").alias("n"))
+    )
+    so_far = Window.partitionBy(*search).orderBy("value")
+    upto = F.sum("n").over(so_far)
+    found = inside.withColumn("upto", upto).filter(
+        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    )
+    return found.groupBy(*keys).agg(F.avg("value").alias("median"))
+
+
 def lookup(key: Column, table: dict, index: int) -> Column:
     """Quantile ``index`` of the row's group as a CASE over the few groups."""
     branches = [(group, values[index]) for group, values in table.items()]

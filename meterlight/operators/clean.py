@@ -100,8 +100,9 @@ def fill_median(df: DataFrame, nulls: dict[str, int] | None = None, **options) -
     return df.na.fill(medians) if medians else df
 
 
-def fill_unknown(df: DataFrame) -> DataFrame:
-    columns = string_columns(df)
+def fill_unknown(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Fill null strings in all string columns, or the given ones."""
+    columns = string_columns(df) if columns is None else columns
     return df.na.fill(UNKNOWN, columns) if columns else df
 
 

@@ -57,22 +57,27 @@ def unfinished_panel(
 
     Deduplicating before the joins gives the same rows as after them, since a dimension has
     one row per key, and bounds each household by its calendar days before anything is
-    shuffled by household. From there on fills, lags and rolling statistics ride on a
-    single shuffle and sort. Ids are made final before that shuffle. The target has no nulls
-    left to fill, so its lags wait neither for the fills nor for the medians.
+    shuffled by household. Ids are made final before that shuffle and the household join
+    comes last, so the fills, lags and rolling statistics ride on a single shuffle and sort,
+    and on the join's own shuffle when the household table is too large to broadcast. The
+    target has no nulls left to fill, so its lags wait neither for the fills nor for the
+    medians.
     """
     measured = [c for c in readings.columns if c in ENERGY_COLUMNS] + [
         c for c in weather.columns if c in WEATHER_COLUMNS
     ]
+    attributes = [c for c in households.columns if c != HOUSEHOLD]
+    one_per_household = first_per_key(households, [HOUSEHOLD], households.columns)
     panel = (
         readings.transform(coerce_types)
         .transform(dedup_readings)
         .transform(drop_null_target)
         .drop(ORDINAL)
-        .transform(join_households, first_per_key(households, [HOUSEHOLD], households.columns))
+        .transform(fill_unknown, [HOUSEHOLD])
         .transform(join_weather, weather)
         .transform(holiday_flag, holidays)
-        .transform(fill_unknown)
+        .transform(join_households, one_per_household)
+        .transform(fill_unknown, attributes)
         .transform(fill_forward_backward, [c for c in measured if c != TARGET])
         .transform(calendar_features)
         .transform(lag_features)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlight.functions.quantiles import grouped_median
 from meterlight.schema import DAY, ENERGY_COLUMNS, HOUSEHOLD, ORDINAL, WEATHER_SOURCE_COLUMNS
 from meterlight.sources.readers import scan_table
 
@@ -22,6 +23,7 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
     lines = scan_table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias(DAY), "l_quantity"
     )
+    # The median keeps a count per distinct quantity, of which there are at most fifty.
     quantity = F.col("l_quantity")
     days = lines.groupBy("k", DAY).agg(
         F.median(quantity).cast("double").alias("energy_median"),
@@ -69,19 +71,22 @@ def households(spark: SparkSession, folder: str) -> DataFrame:
 
 def weather(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return (
-        scan_table(spark, folder, "orders")
-        .groupBy(F.to_date("o_orderdate").alias(DAY))
-        .agg(
-            (F.max(price) / 1e4).alias("temperature_max"),
-            (F.min(price) / 1e4).alias("temperature_min"),
-            F.count("*").cast("double").alias("wind_speed"),
-            (F.avg(price) / 5e5).alias("humidity"),
-            F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("cloud_cover"),
-            (F.sum(price) / 1e5).alias("pressure"),
-            (F.stddev_samp(price) / 1e4).alias("visibility"),
-            (F.median(price) / 1e4).alias("dew_point"),
-        )
+    orders = scan_table(spark, folder, "orders").select(
+        F.to_date("o_orderdate").alias(DAY), price, "o_orderstatus"
+    )
+    days = orders.groupBy(DAY).agg(
+        (F.max(price) / 1e4).alias("temperature_max"),
+        (F.min(price) / 1e4).alias("temperature_min"),
+        F.count("*").cast("double").alias("wind_speed"),
+        (F.avg(price) / 5e5).alias("humidity"),
+        F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("cloud_cover"),
+        (F.sum(price) / 1e5).alias("pressure"),
+        (F.stddev_samp(price) / 1e4).alias("visibility"),
+    )
+    # A day's orders have no bound, unlike the quantities of a household's day.
+    medians = grouped_median(orders, [DAY], "o_totalprice")
+    return days.join(medians, DAY, "left").select(
+        *days.columns, (F.col("median") / 1e4).alias("dew_point")
     )
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from meterlight.functions.quantiles import exact_median, exact_quantiles
+from meterlight.functions.quantiles import exact_median, exact_quantiles, grouped_median
 
 PROBABILITIES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0]
 
@@ -50,3 +50,23 @@ def test_too_many_groups(spark):
 
 def test_no_values(spark):
     assert exact_median(frame(spark, [None, None]), "v") is None
+
+
+@pytest.mark.parametrize(("bounded", "bins"), [(10**6, 64), (50, 16), (0, 8)])
+def test_grouped_median_equals_numpy(spark, bounded, bins):
+    """Groups of one, two and many values, one of them with most of the rows."""
+    rng = np.random.default_rng(6)
+    parts = {
+        0: rng.lognormal(0, 3, 2000),
+        1: np.append(np.full(90, 2.5), [1e12, -1e12]),
+        2: np.array([7.0]),
+        3: np.array([1.0, 4.0]),
+        4: rng.integers(0, 5, 301).astype(float),
+    }
+    values = [v for part in parts.values() for v in part] + [None]
+    groups = [g for g, part in parts.items() for _ in part] + [9]
+    table = frame(spark, values, groups)
+    found = grouped_median(table, ["g"], "v", bounded_rows=bounded, bins=bins).collect()
+    assert {r.g: r["median"] for r in found} == pytest.approx(
+        {g: np.median(part) for g, part in parts.items()}
+    )
