@@ -139,7 +139,7 @@ DAILY_WEATHER_SQL = (
 )
 
 
-@query("weather_daily", DAILY_WEATHER_SQL, rounds="mean_energy weather_value:10")
+@query("weather_daily", DAILY_WEATHER_SQL, rounds="mean_energy weather_value")
 def weather_daily(ws):
     return eda.weather_daily(ws.features, "temperature_min")
 
@@ -237,7 +237,7 @@ def peak_insights(ws):
 @query(
     "daily_panel_mean",
     f"SELECT 'AGGREGATED' AS household_id, day, {listed(NUMERIC, 'avg({0}) AS {0}')} FROM features GROUP BY day",
-    rounds=rounded(NUMERIC, 11),
+    rounds=rounded(NUMERIC),
 )
 def daily_panel_mean(ws):
     return eda.daily_panel_mean(ws.features)

@@ -12,36 +12,33 @@ from meterlight.plans.workspace import Workspace, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-# Doubles are rounded on both sides, since the engines sum in different orders. The same
-# arithmetic is used on both, because their ``round`` functions treat ties differently.
+# Doubles are rounded on both sides, since the engines sum in different orders. Rounding up
+# starts at an irrational fraction, which no short decimal (a price, a mean of a few) lies on;
+# with one half, the last bit would decide whether such a value goes up or down.
 DIGITS = 6
-
-
-def _digits(rounds: str) -> dict[str, int]:
-    """Digits per column from a text such as ``"mean share:9"``."""
-    parts = [item.partition(":") for item in rounds.split()]
-    return {name: int(digits or DIGITS) for name, _, digits in parts}
+ROUND_UP = 0.3819660112501051
 
 
 def query(name: str, sql: str | None = None, rounds: str = ""):
     """Register ``function(workspace)`` under ``name``.
 
     ``sql`` may use the derived tables of ``checks.tables``; ``rounds`` lists the double
-    columns to round, with the number of digits after a colon where six are not right.
+    columns to round.
     """
-    columns = _digits(rounds)
+    columns = rounds.split()
+    scale = 10.0**DIGITS
 
     def register(function: Callable[[Workspace], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             result = function(workspace(spark, folder))
             return result.withColumns(
-                {c: F.floor(F.col(c) * 10.0**d + 0.5) / 10.0**d for c, d in columns.items()}
+                {c: F.floor(F.col(c) * scale + ROUND_UP) / scale for c in columns}
             )
 
         QUERIES[name] = run
         if sql is not None:
             replaced = ", ".join(
-                f"floor({c} * 1e{d} + 0.5e0) / 1e{d} AS {c}" for c, d in columns.items()
+                f"floor({c} * 1e{DIGITS} + {ROUND_UP}e0) / 1e{DIGITS} AS {c}" for c in columns
             )
             choice = f"* REPLACE ({replaced})" if columns else "*"
             ORACLES[name] = with_tables(f"SELECT {choice} FROM (\n{sql}\n) AS answer")

@@ -30,14 +30,8 @@ READING_SQL = listed(READING)
 MERGED = [*READING, *ATTRIBUTES, *WEATHER]
 
 
-# Prices are in cents, so the weather values are short decimals; they are rounded beyond
-# their last digit, where no value lies half-way between two results.
-WEATHER_DIGITS = {"humidity": 12, "visibility": 8}
-
-
-def rounded(columns, weather_digits: int = 9) -> str:
-    digits = {c: WEATHER_DIGITS.get(c, weather_digits) for c in WEATHER}
-    return " ".join(f"{c}:{digits[c]}" if c in digits else c for c in columns)
+def rounded(columns) -> str:
+    return " ".join(columns)
 
 
 # Scans
