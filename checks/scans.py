@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.tables import (
     ATTRIBUTES,
-    CALENDAR,
     CALENDAR_SQL,
     DOUBLES,
     ENERGY,

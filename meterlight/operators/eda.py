@@ -31,6 +31,7 @@ from meterlight.schema import (
 )
 
 ALL = "All"
+ALL_HOUSEHOLDS = "All Households"
 AGGREGATED = "AGGREGATED"
 # Category codes left out of the group comparison.
 UNCLASSIFIED_GROUPS = ["ACORN-", "ACORN-U"]
@@ -61,7 +62,9 @@ def eda_filter(
 
 
 def household_slice(df: DataFrame, household: str = ALL) -> DataFrame:
-    return df if household.startswith(ALL) else df.filter(F.col(HOUSEHOLD) == household)
+    if household in (ALL, ALL_HOUSEHOLDS):
+        return df
+    return df.filter(F.col(HOUSEHOLD) == household)
 
 
 def household_compare(df: DataFrame, households: str | list[str]) -> DataFrame:
