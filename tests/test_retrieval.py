@@ -9,25 +9,6 @@ from meterlight.functions import text as T
 from meterlight.operators import retrieval
 
 
-def plain_chunks(text, size=800, overlap=100):
-    """Sections on '## ' headings; long ones packed from paragraphs, keeping an overlap."""
-    out = []
-    for number, section in enumerate(text.split("\n## ")):
-        section = section if number == 0 else "## " + section
-        if len(section) <= size:
-            out.append(section.strip())
-            continue
-        held = ""
-        for paragraph in section.split("\n\n"):
-            if held and len(held) + len(paragraph) > size:
-                out.append(held.strip())
-                held = held[-overlap:]
-            held = f"{held}\n\n{paragraph}"
-        if held.strip():
-            out.append(held.strip())
-    return out
-
-
 def plain_score(question, content):
     asked, body = question.lower(), content.lower()
     words = set(asked.split())
@@ -47,16 +28,47 @@ def random_text(rng):
     return "".join(rng.choice(words) + rng.choice(marks) for _ in range(rng.randint(0, 900)))
 
 
-EDGES = ["", "short", "\n## only\n## sections", "p" * 2000, "a\n\n" * 700, "\n\n\n\n" * 400, "  x  "]
-
-
-def test_chunks_equal_plain_python(spark):
-    rng = random.Random(3)
-    texts = EDGES + [random_text(rng) for _ in range(40)]
+def blocks(letters, size=300):
+    return "\n\n".join(c * size for c in letters)
+
+
+# Texts with their chunks worked out by hand. A chunk is closed when the next paragraph
+# would take it past 800 characters; the next one starts with its last 100.
+WORKED = {
+    "empty": ("", [""]),
+    "stripped": (" \u00a0 x\u2003\n", ["x"]),
+    "exactly full": ("s" * 800, ["s" * 800]),
+    "sections": ("\n## one\n## two", ["", "## one", "## two"]),
+    "packed": (
+        blocks("abcde"),
+        [
+            blocks("ab"),
+            "b" * 100 + "\n\n" + blocks("cd"),
+            "d" * 100 + "\n\n" + blocks("e"),
+        ],
+    ),
+    "accents count once": (
+        blocks("éüî"),
+        [blocks("éü"), "ü" * 100 + "\n\n" + blocks("î")],
+    ),
+    "section mark counts": (
+        "x\n## " + "t" * 798,
+        ["x", "## " + "t" * 798],
+    ),
+    "long paragraph between short ones": (
+        "a\n\n" + "L" * 1000 + "\n\nz",
+        ["a", "a\n\n" + "L" * 1000, "L" * 100 + "\n\nz"],
+    ),
+    "only blank lines": ("\n\n" * 500, [""]),
+}
+
+
+def test_worked_chunks(spark):
+    texts = [text for text, _ in WORKED.values()]
     rows = retrieval.chunk_text(documents(spark, texts)).orderBy("doc_id", "chunk_ord").collect()
-    for number, text in enumerate(texts):
-        mine = [r.content for r in rows if r.doc_id == number]
-        assert mine == plain_chunks(text), number
+    for number, (name, (_, expected)) in enumerate(WORKED.items()):
+        mine = [(r.chunk_ord, r.content) for r in rows if r.doc_id == number]
+        assert mine == list(enumerate(expected)), name
 
 
 def test_long_paragraph_is_never_cut(spark):
