@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm import licenses, mixing, packing, quality, simhash, token_counts
+from meterlight.llm import (
+    licenses,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_counts,
+)
 from meterlight.llm.common import read
 from meterlight.llm.encoders import vocabulary
 
@@ -26,6 +34,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return packing.pack_documents(docs, vocabulary(WORD_BPE))
@@ -47,6 +59,14 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op3_token_counts, op6_packing, op8_quality, op9_licenses, op10_simhash)
+    for f in (
+        op1_mixing,
+        op3_token_counts,
+        op4_suffix_dedup,
+        op6_packing,
+        op8_quality,
+        op9_licenses,
+        op10_simhash,
+    )
 }
 ORACLES: dict[str, str] = {"op9_licenses": licenses.sql()}
