@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlight.llm import (
+    language_id,
     licenses,
     mixing,
     packing,
@@ -15,6 +16,7 @@ from meterlight.llm import (
     simhash,
     suffix_dedup,
     token_counts,
+    toxicity,
 )
 from meterlight.llm.common import read
 from meterlight.llm.encoders import vocabulary
@@ -28,6 +30,11 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "moment")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, folder, "labels")))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     counted = token_counts.count_documents(docs, vocabulary(WORD_BPE))
@@ -43,6 +50,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary(WORD_BPE))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_documents(read(spark, folder, "documents"), vocabulary(PIECE_BPE))
 
@@ -61,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing,
+        op2_toxicity,
         op3_token_counts,
         op4_suffix_dedup,
         op6_packing,
+        op7_language_id,
         op8_quality,
         op9_licenses,
         op10_simhash,
