@@ -30,7 +30,7 @@ from meterlight.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
-ROWS_OF_BUCKET = 20_000
+ROWS_OF_BUCKET = 5_000
 
 Knots = list[tuple[float, float]]
 
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, schedules=cycle, share: float = 1.5, most: float = 2.0)
     for s in sources:
         s.knots = knots[s.name]
     set_targets(sources, share, most)
-    buckets = max(16, sum(s.rows for s in sources) // ROWS_OF_BUCKET)
+    buckets = max(64, sum(s.rows for s in sources) // ROWS_OF_BUCKET)
     sized = sized.withColumn("bucket", F.pmod("order", F.lit(buckets)))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = sums.select(
@@ -192,23 +192,23 @@ def mixed_documents(docs: DataFrame, schedules=cycle, share: float = 1.5, most:
     plan = mix(docs, schedules, share, most).where("taken > 0")
     twins = Window.partitionBy("doc_id", "source", "size")
     plan = plan.withColumn("twin", F.row_number().over(twins.orderBy("passes"))).select(
-        *[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "twin", "passes")]
+        *[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "size", "twin", "passes")]
     )
-    own = docs.withColumn("_words", words(F.col("text"))).withColumn("_hash", F.xxhash64("text"))
+    own = docs.withColumn("_mix_words", words(F.col("text"))).withColumn("_mix_hash", F.xxhash64("text"))
     own = own.withColumn(
-        "_twins", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("_hash"))
+        "_mix_twins", F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_words").orderBy("_mix_hash"))
     )
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size"))
-        & (F.col("_twins") == F.col("_twin"))
+        F.col("doc_id").eqNullSafe(F.col("_mix_doc_id"))
+        & F.col("source").eqNullSafe(F.col("_mix_source"))
+        & (F.col("_mix_words") == F.col("_mix_size"))
+        & (F.col("_mix_twins") == F.col("_mix_twin"))
     )
-    due = own.join(plan, same).withColumn("_due", F.explode("_passes"))
-    cut = F.array_join(F.slice(F.split("text", WORD_END), F.lit(1), F.col("_due.words").cast("int")), "")
+    due = own.join(plan, same).withColumn("_mix_due", F.explode("_mix_passes"))
+    cut = F.array_join(F.slice(F.split("text", WORD_END), F.lit(1), F.col("_mix_due.words").cast("int")), "")
     due = due.withColumn(
-        "text", F.when(F.col("_due.words") < F.col("_words"), cut).otherwise(F.col("text"))
+        "text", F.when(F.col("_mix_due.words") < F.col("_mix_words"), cut).otherwise(F.col("text"))
     )
     if "n_chars" in docs.columns:
         due = due.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return due.orderBy("_due.moment", "doc_id").select(*docs.columns)
+    return due.orderBy("_mix_due.moment", "doc_id").select(*docs.columns)

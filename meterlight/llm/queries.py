@@ -11,6 +11,7 @@ from meterlight.llm import (
     language_id,
     licenses,
     mixing,
+    neighbours,
     packing,
     quality,
     simhash,
@@ -45,6 +46,10 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, folder, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return packing.pack_documents(docs, vocabulary(WORD_BPE))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_toxicity,
         op3_token_counts,
         op4_suffix_dedup,
+        op5_neighbours,
         op6_packing,
         op7_language_id,
         op8_quality,

@@ -44,6 +44,8 @@ LONGEST = 16_384
 TOXIC_LANDMARKS = 48
 COVER = 3  # landmarks that a toxic document of the sample should have words like
 CLEAN_LANDMARKS = 40
+FEWEST = 5  # documents that must have a toxic landmark not covered otherwise
+RATIO = 10  # times as often in them as in clean ones
 LIKE = 0.1  # kernel, to the power, from which a word is like a landmark
 POWER = 3
 ROUNDS = 3
@@ -175,7 +177,7 @@ def landmarks(words: list[set[str]], toxic: np.ndarray) -> tuple[list[str], int]
         in_bad = np.bincount(word[open_docs[doc]], minlength=len(listed)) / max(1, len(bad))
         gain = (in_bad - in_good) * np.abs(in_bad - in_good) / np.maximum(in_bad + in_good, 1e-12)
         best = int(gain.argmax())
-        if gain[best] <= 0 or in_bad[best] * len(bad) < 2:
+        if in_bad[best] * len(bad) < FEWEST or in_bad[best] < RATIO * in_good[best]:
             break
         chosen.append(listed[best])
         near = Landmarks([listed[best]]).kernels(listed, POWER)[:, 0] >= LIKE
