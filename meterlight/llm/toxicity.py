@@ -6,7 +6,7 @@ all sentences (Nyström): words that toxic documents of the sample have more oft
 ones, each chosen for the documents that few before it are like, and those frequent clean words
 that are most like them. A linear support vector machine is trained on sentences in that
 space. Labels are given for documents, so the toxic sentence of a toxic document is the one that
-scores highest, found anew in each round; all sentences of clean documents are clean. Toxic
+scores highest, found anew in each round, and any with a toxic landmark; all sentences of clean documents are clean. Toxic
 sentences are also shown with a letter put into their worst word.
 
 Since the machine is linear, a word adds the same to every sentence; each distinct word is
@@ -42,13 +42,14 @@ from meterlight.llm.string_kernel import WIDTH, Landmarks
 SAMPLE = 1500
 LONGEST = 16_384
 TOXIC_LANDMARKS = 48
-COVER = 3  # landmarks that a toxic document of the sample should have words like
+COVER = 8  # landmarks that a toxic document of the sample should have words like
 CLEAN_LANDMARKS = 40
-FEWEST = 5  # documents that must have a toxic landmark not covered otherwise
+FEWEST = 0.005  # share of the toxic documents, 5 at least, to have a landmark not covered
 RATIO = 10  # times as often in them as in clean ones
-LIKE = 0.1  # kernel, to the power, from which a word is like a landmark
+LIKE = 0.3  # kernel, to the power, from which a word is like a landmark
 POWER = 3
 ROUNDS = 3
+SURE = 0.9
 WORDS_KEPT = 500_000
 
 # Digits and signs often put in place of letters.
@@ -176,9 +177,10 @@ def landmarks(words: list[set[str]], toxic: np.ndarray) -> tuple[list[str], int]
     while len(chosen) < TOXIC_LANDMARKS and open_docs.any():
         in_bad = np.bincount(word[open_docs[doc]], minlength=len(listed)) / max(1, len(bad))
         gain = (in_bad - in_good) * np.abs(in_bad - in_good) / np.maximum(in_bad + in_good, 1e-12)
-        best = int(gain.argmax())
-        if in_bad[best] * len(bad) < FEWEST or in_bad[best] < RATIO * in_good[best]:
+        fit = (in_bad * len(bad) >= max(5, FEWEST * len(bad))) & (in_bad >= RATIO * in_good)
+        if not fit.any():
             break
+        best = int(np.where(fit, gain, -np.inf).argmax())
         chosen.append(listed[best])
         near = Landmarks([listed[best]]).kernels(listed, POWER)[:, 0] >= LIKE
         covered[np.unique(doc[near[word]])] += 1
@@ -226,8 +228,10 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
 
     score = rows[:, :n_toxic].sum(axis=1)
     clean = np.flatnonzero(~toxic[doc])
+    # Sentences of toxic documents with a word that all but is a toxic landmark are toxic too.
+    sure = np.flatnonzero(toxic[doc] & (rows[:, :n_toxic].max(axis=1, initial=0) >= SURE))
     for _ in range(ROUNDS):
-        worst = _highest(score, doc, np.flatnonzero(toxic))
+        worst = np.union1d(_highest(score, doc, np.flatnonzero(toxic)), sure)
         shown, numbers = [], []
         for k, s in enumerate(worst):
             own = flat[s]
