@@ -54,7 +54,7 @@ def tune_models(ws):
         "gbt_b": {"trees": [2, 4], "depth": [2, 3], "learning_rate": [0.1, 0.3]},
         "random_forest": {"trees": [3, 5], "depth": [3, 4], "min_leaf": [2, 5]},
     }
-    return training.tune(ws.features, grids, picks=2)
+    return training.tune(ws.features, grids)
 
 
 @query("model_store")

@@ -386,13 +386,12 @@ def sink_table(ws):
 @query(
     "sink_by_month",
     """SELECT strftime(day, '%Y-%m') AS year_month, count(*) AS n, sum(energy_sum) AS total FROM features
-WHERE year(day) = 1998 GROUP BY 1""",
+GROUP BY 1""",
     rounds="total",
 )
 def sink_by_month(ws):
-    """The feature table written in month folders; one year read back by its folders."""
+    """The feature table written in month folders, and read back."""
     path = sinks.write_by_month(ws.features, new_path(ws.spark, "by-month"))
-    year = ws.spark.read.parquet(path).filter(F.col("year_month").startswith("1998"))
-    return year.groupBy("year_month").agg(
+    return ws.spark.read.parquet(path).groupBy("year_month").agg(
         F.count("*").alias("n"), F.sum("energy_sum").alias("total")
     )

@@ -2,16 +2,16 @@
 
 ``percentile`` and ``median`` keep every distinct value of a group in one task's memory.
 That is fine for a group with a known bound (one household's days) but not for a whole
-table. Here the rank is found by refining a histogram: each pass counts rows per equi-width
-bin with map-side partial sums, keeps the bin the rank falls in, and narrows to the smallest
-and largest value actually seen there. What reaches the driver is at most ``BINS`` rows for
-every rank searched, whatever the size or skew of the data.
+table. Here the ranks are found by refining a histogram: each pass counts rows per equi-width
+bin with map-side partial sums, keeps the bin a rank falls in, and narrows to the smallest
+and largest value actually seen there. Once no search spans more than ``FINISH_ROWS`` rows,
+the values inside are counted and the rank is picked. The searches are rows of a stored table,
+at most two for each group and probability, so any number of groups can be searched, and
+the number of passes never changes a result.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,22 +20,7 @@ from pyspark.sql import functions as F
 from meterlight.session import materialize
 
 BINS = 1024
-DIRECT_ROWS = 200_000
-MAX_GROUPS = 64
-
-
-@dataclass(frozen=True)
-class _Search:
-    """Rank ``rank`` (from 0) among the group's values inside ``[low, high]``."""
-
-    group: object
-    rank: int
-    low: float
-    high: float
-
-    @property
-    def found(self) -> bool:
-        return self.low == self.high
+FINISH_ROWS = 200_000
 
 
 def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -49,102 +34,6 @@ def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     return F.when(value <= low, 0).when(value >= high, bins - 1).otherwise(inner)
 
 
-def _refine(df: DataFrame, searches: list[_Search], bins: int) -> dict[_Search, _Search]:
-    """One pass over ``df(group, value)`` that narrows every open search to one bin."""
-    spans = sorted(
-        {(s.group, s.low, s.high) for s in searches}, key=lambda s: (str(s[0]), s[1], s[2])
-    )
-    candidates = [
-        F.when(
-            F.col("group").eqNullSafe(F.lit(group)) & F.col("value").between(low, high),
-            F.struct(
-                F.lit(i).alias("span"),
-                _bin_of(F.col("value"), F.lit(low), F.lit(high), bins).alias("bin"),
-            ),
-        )
-        for i, (group, low, high) in enumerate(spans)
-    ]
-    hits = df.select("value", F.explode(F.array_compact(F.array(*candidates))).alias("hit"))
-    rows = (
-        hits.groupBy("hit.span", "hit.bin")
-        .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .collect()
-    )
-    by_span: dict[int, list] = {}
-    for row in sorted(rows, key=lambda r: (r.span, r.bin)):
-        by_span.setdefault(row.span, []).append(row)
-    narrowed = {}
-    for search in searches:
-        rank = search.rank
-        for row in by_span[spans.index((search.group, search.low, search.high))]:
-            if rank < row.n:
-                narrowed[search] = _Search(search.group, rank, row.lo, row.hi)
-                break
-            rank -= row.n
-    return narrowed
-
-
-def exact_quantiles(
-    df: DataFrame,
-    value: str | Column,
-    probabilities: list[float],
-    group: str | Column | None = None,
-    direct_rows: int = DIRECT_ROWS,
-    bins: int = BINS,
-) -> dict:
-    """Linear-interpolation quantiles per group: ``{group: [quantile, ...]}``.
-
-    ``group`` must have few distinct values (seasons, a constant). Nulls and NaN are left
-    out. ``df`` is scanned once per pass, so give it a stored table. Up to ``direct_rows``
-    values in all, the built-in ``percentile`` answers in one pass.
-    """
-    value = F.col(value) if isinstance(value, str) else value
-    group = F.lit(0) if group is None else F.col(group) if isinstance(group, str) else group
-    data = df.select(group.alias("group"), value.cast("double").alias("value")).filter(
-        F.col("value").isNotNull() & ~F.isnan("value")
-    )
-    stats = (
-        data.groupBy("group")
-        .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .limit(MAX_GROUPS + 1)
-        .collect()
-    )
-    if len(stats) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; use percentile per bounded group")
-    if sum(row.n for row in stats) <= direct_rows:
-        rows = data.groupBy("group").agg(
-            F.percentile("value", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")
-        )
-        return {row.group: list(row.q) for row in rows.collect()}
-
-    bounds = {row.group: row for row in stats}
-    wanted = {}
-    for row in stats:
-        for p in probabilities:
-            position = p * (row.n - 1)
-            for rank in (math.floor(position), math.ceil(position)):
-                wanted[(row.group, rank)] = _Search(row.group, rank, row.lo, row.hi)
-    while any(not s.found for s in wanted.values()):
-        narrowed = _refine(data, [s for s in wanted.values() if not s.found], bins)
-        wanted = {key: narrowed.get(s, s) for key, s in wanted.items()}
-
-    result = {}
-    for key, row in bounds.items():
-        quantiles = []
-        for p in probabilities:
-            position = p * (row.n - 1)
-            low = wanted[(key, math.floor(position))].low
-            high = wanted[(key, math.ceil(position))].low
-            quantiles.append(low + (high - low) * (position - math.floor(position)))
-        result[key] = quantiles
-    return result
-
-
-def exact_median(df: DataFrame, value: str | Column, **options) -> float | None:
-    answer = exact_quantiles(df, value, [0.5], **options)
-    return answer[0][0] if answer else None
-
-
 def _narrowed(data: DataFrame, state: DataFrame, keys: list[str], bins: int) -> DataFrame:
     """``state`` with every search moved to the bin its rank falls in.
 
@@ -170,21 +59,21 @@ def _narrowed(data: DataFrame, state: DataFrame, keys: list[str], bins: int) ->
     )
 
 
-def grouped_median(
+def quantile_table(
     df: DataFrame,
     keys: list[str],
-    value: str,
-    bounded_rows: int = DIRECT_ROWS,
+    value: str | Column,
+    probabilities: list[float],
+    finish_rows: int = FINISH_ROWS,
     bins: int = BINS,
 ) -> DataFrame:
-    """(keys, median) for many groups of any size.
+    """(keys, quantiles): linear-interpolation quantiles of every group, as an array.
 
-    Group sizes are counted first. Groups of a bounded size take the built-in median.
-    Otherwise every group's middle ranks are searched as in ``exact_quantiles``, with the
-    searches kept in a stored table of at most two rows per group, until no search spans
-    more than ``bounded_rows`` rows.
+    Groups may have any number and any size; none may be null. Nulls and NaN are left out.
+    ``df`` is scanned once per pass, so give it a stored table.
     """
-    data = df.select(*keys, F.col(value).cast("double").alias("value")).filter(
+    value = F.col(value) if isinstance(value, str) else value
+    data = df.select(*keys, value.cast("double").alias("value")).filter(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
     sizes = materialize(
@@ -193,18 +82,14 @@ def grouped_median(
         ),
         "group-sizes",
     )
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= bounded_rows:
-        return data.groupBy(*keys).agg(F.median("value").alias("median"))
-
-    middle = (F.col("n") - 1) / 2
-    ranks = F.array_distinct(F.array(F.floor(middle), F.ceil(middle)))
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    ranks = F.array_distinct(F.array(*[f(at) for at in places for f in (F.floor, F.ceil)]))
     state = sizes.withColumn("target", F.explode(ranks)).withColumn("rank", F.col("target"))
     while True:
-        state = materialize(_narrowed(data, state, keys, bins), "median-search")
         widest = state.filter("low < high").agg(F.max("n")).first()[0]
-        if widest is None or widest <= bounded_rows:
+        if widest is None or widest <= finish_rows:
             break
+        state = materialize(_narrowed(data, state, keys, bins), "quantile-search")
 
     search = [*keys, "target"]
     inside = (
@@ -213,12 +98,46 @@ def grouped_median(
         .groupBy(*search, "rank", "value")
         .agg(F.count("*").alias("n"))
     )
-    so_far = Window.partitionBy(*search).orderBy("value")
-    upto = F.sum("n").over(so_far)
+    upto = F.sum("n").over(Window.partitionBy(*search).orderBy("value"))
     found = inside.withColumn("upto", upto).filter(
         (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
     )
-    return found.groupBy(*keys).agg(F.avg("value").alias("median"))
+    at_rank = F.map_from_entries(F.collect_list(F.struct("target", "value")))
+    by_group = found.groupBy(*keys).agg(at_rank.alias("found")).join(sizes, keys)
+
+    def interpolated(place: Column) -> Column:
+        low = F.element_at("found", F.floor(place))
+        high = F.element_at("found", F.ceil(place))
+        return low + (high - low) * (place - F.floor(place))
+
+    return by_group.select(*keys, F.array(*[interpolated(at) for at in places]).alias("quantiles"))
+
+
+def exact_quantiles(
+    df: DataFrame,
+    value: str | Column,
+    probabilities: list[float],
+    group: str | Column | None = None,
+    **options,
+) -> dict:
+    """``{group: [quantile, ...]}`` on the driver, for few groups (seasons, a constant)."""
+    value = F.col(value) if isinstance(value, str) else value
+    group = F.lit(0) if group is None else F.col(group) if isinstance(group, str) else group
+    # Structs compare equal where both hold a null, so a null group is one too.
+    keyed = df.select(F.struct(group.alias("of")).alias("group"), value.alias("value"))
+    rows = quantile_table(keyed, ["group"], "value", probabilities, **options).collect()
+    return {row["group"]["of"]: list(row["quantiles"]) for row in rows}
+
+
+def exact_median(df: DataFrame, value: str | Column, **options) -> float | None:
+    answer = exact_quantiles(df, value, [0.5], **options)
+    return answer[0][0] if answer else None
+
+
+def grouped_median(df: DataFrame, keys: list[str], value: str, **options) -> DataFrame:
+    """(keys, median) for any number of groups of any size."""
+    table = quantile_table(df, keys, value, [0.5], **options)
+    return table.select(*keys, F.col("quantiles")[0].alias("median"))
 
 
 def lookup(key: Column, table: dict, index: int) -> Column:

@@ -8,6 +8,7 @@ vectorised function over the eight input columns; all other columns stay in the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -72,30 +73,27 @@ def tree_samples(
 ) -> DataFrame:
     """At most ``sample_size`` rows for each tree, without replacement.
 
-    A large table is thinned by hash first and every kept row goes to one tree. A table
-    smaller than what all trees need together is offered to each tree on its own, which
-    draws about ``sample_size`` rows from it in the same map task.
+    A hash decides how many trees a row is offered to, on average as many as fill all trees'
+    wishes, and another which ones: steps of a length without a common divisor with the
+    number of trees, so no tree gets a row twice.
     """
     row_key = [c for c in (HOUSEHOLD, DAY) if c in df.columns] or inputs
     key = [F.col(c) for c in row_key]
-    wanted = SURPLUS * sample_size
-    if rows > trees * wanted:
-        cut = int(_HASH_RANGE * trees * wanted / rows)
-        drawn = (
-            df.withColumn("draw", _draw(seed, *key))
-            .filter(F.col("draw") < cut)
-            .withColumn("tree", F.pmod(_draw(seed + 1, *key), F.lit(trees)).cast("int"))
-        )
-    else:
-        cut = int(_HASH_RANGE * min(1.0, wanted / rows))
-        drawn = (
-            df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            .withColumn("draw", _draw(seed, F.col("tree"), *key))
-            .filter(F.col("draw") < cut)
-        )
+    rate = min(float(trees), trees * SURPLUS * sample_size / rows)
+    copies = int(rate) + (_draw(seed, *key) < int(_HASH_RANGE * (rate % 1.0))).cast("int")
+    strides = F.array(*[F.lit(s) for s in range(1, trees + 1) if math.gcd(s, trees) == 1])
+    stride = strides[F.pmod(_draw(seed + 1, *key), F.size(strides)).cast("int")]
+    first = F.pmod(_draw(seed + 2, *key), F.lit(trees))
+    offered = (
+        df.withColumn("copies", copies)
+        .filter("copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        .withColumn("tree", F.pmod(first + F.col("copy") * stride, F.lit(trees)).cast("int"))
+        .withColumn("draw", _draw(seed + 3, F.col("tree"), *key))
+    )
     by_draw = Window.partitionBy("tree").orderBy("draw", *inputs)
     return (
-        drawn.select("tree", "draw", *inputs)
+        offered.select("tree", "draw", *inputs)
         .withColumn("rank", F.row_number().over(by_draw))
         .filter(F.col("rank") <= sample_size)
         .drop("rank")
@@ -139,8 +137,8 @@ def _nodes(forest: Forest) -> dict:
     return isolation.flat_forest(table, forest.sample_size)
 
 
-def raw_score(forest: Forest, spark: SparkSession) -> Column:
-    """Column expression over the forest's (unscaled) input columns."""
+def raw_score(forest: Forest, spark: SparkSession, values: dict[str, Column]) -> Column:
+    """Column expression over the forest's (unscaled) inputs; nulls count as zero."""
     shared = spark.sparkContext.broadcast(_nodes(forest))
     score_points = isolation.score_points
 
@@ -150,17 +148,17 @@ def raw_score(forest: Forest, spark: SparkSession) -> Column:
             points = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
             yield pd.Series(score_points(shared.value, points))
 
-    return score(*scaled(list(forest.inputs), forest.scaling))
+    filled = {c: F.coalesce(values[c].cast("double"), F.lit(0.0)) for c in forest.inputs}
+    center, spread = zip(*(forest.scaling[c] for c in forest.inputs))
+    return score(
+        *[(filled[c] - F.lit(m)) / F.lit(w) for c, m, w in zip(forest.inputs, center, spread)]
+    )
 
 
 def with_raw_score(forest: Forest, df: DataFrame) -> DataFrame:
-    """All columns of ``df`` and the raw score; derived inputs are used, not kept."""
-    derived = {c: f(F.col(DAY)) for c, f in CALENDAR_INPUTS.items() if c not in df.columns}
-    ready = df.withColumns(
-        {c: derived[c] for c in forest.inputs if c in derived}
-    ).na.fill(0, list(forest.inputs))
-    scored = ready.withColumn("raw_score", raw_score(forest, df.sparkSession))
-    return scored.select(*df.columns, "raw_score")
+    """All columns of ``df`` as they are, and the raw score, for which nulls count as zero."""
+    values = {c: F.col(c) if c in df.columns else CALENDAR_INPUTS[c](F.col(DAY)) for c in forest.inputs}
+    return df.withColumn("raw_score", raw_score(forest, df.sparkSession, values))
 
 
 def calibrate(forest: Forest, scored: DataFrame, contamination: float | None = None) -> Forest:

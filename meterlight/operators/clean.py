@@ -17,6 +17,7 @@ from meterlight.schema import (
     numeric_columns,
     string_columns,
 )
+from meterlight.session import materialize
 from meterlight.sources.readers import first_per_key, parse_date
 
 UNKNOWN = "Unknown"
@@ -107,12 +108,15 @@ def fill_unknown(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def preprocess(df: DataFrame) -> DataFrame:
-    """Coerce, deduplicate, drop missing targets, then impute."""
-    return (
+    """Coerce, deduplicate, drop missing targets, then impute.
+
+    The table is stored once before the medians, and null counts are observed in that write.
+    """
+    filled = (
         df.transform(coerce_types)
         .transform(dedup_readings)
         .transform(drop_null_target)
         .transform(fill_forward_backward)
-        .transform(fill_median)
-        .transform(fill_unknown)
     )
+    stored, nulls = materialize(filled, "filled", null_counts(numeric_columns(filled)))
+    return stored.transform(fill_median, nulls).transform(fill_unknown)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -167,12 +169,12 @@ def profile_vectors(profiles: DataFrame) -> DataFrame:
 
 def fit_kmeans(vectors: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS) -> KMeansModel:
     """Best of several seeded starts by total within-cluster distance."""
-    best = None
-    for seed in range(42, 42 + restarts):
-        model = KMeans(k=k, seed=seed, maxIter=50).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    seeds = range(42, 42 + restarts)
+    with ThreadPoolExecutor(4) as pool:  # the starts are independent jobs
+        models = list(
+            pool.map(lambda seed: KMeans(k=k, seed=seed, maxIter=50).fit(vectors), seeds)
+        )
+    return min(models, key=lambda model: model.summary.trainingCost)
 
 
 def silhouette(clustered: DataFrame) -> float:

@@ -224,14 +224,14 @@ def keyword_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, doc_id, chunk_ord, score) for every pair with a positive score.
 
     Equality joins through an inverted index: the chunks' tokens meet the tokens known to
-    hold a keyword, then the questions asking for that keyword. The tables that decide
-    which chunks matter are stored first, so Catalyst knows their sizes: small ones are
-    broadcast, and the corpus is read without being shuffled before it is reduced to hits.
+    hold a keyword, then the questions asking for that keyword. Everything about a chunk
+    stays in the partition its key hashes to: its tokens, its text, and the questions that
+    reach it where their keywords are broadcast. So pairs stream into the ranking, which
+    keeps a few for each question and task, and are neither shuffled nor stored.
     """
     words = question_keywords(questions)
-    tokens = chunks.select(
-        *CHUNK_KEY, F.explode(T.tokens(F.lower("content"))).alias("token")
-    )
+    placed = chunks.select(*CHUNK_KEY, F.lower("content").alias("body")).repartition(*CHUNK_KEY)
+    tokens = placed.select(*CHUNK_KEY, F.explode(T.tokens(F.col("body"))).alias("token"))
     matching = materialize(keyword_tokens(tokens, words), "keyword-tokens")
     per_word = (
         tokens.join(matching, "token")
@@ -246,27 +246,29 @@ def keyword_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
             (F.count("*") == F.max("n_keywords")).alias("all_present"),
         )
     )
-    pairs = materialize(pairs, "keyword-pairs")
-    whole = whole_questions(pairs.filter("all_present"), chunks, questions)
-    score = F.col("base") + F.coalesce("bonus", F.lit(0))
+    asked = questions.select("question_id", F.lower("question").alias("asked"))
+    whole = F.col("all_present") & F.contains("body", "asked")
+    score = F.col("base") + F.when(whole, T.QUESTION_BONUS).otherwise(0)
+    scored = pairs.join(placed, CHUNK_KEY).join(asked, "question_id")
     key = ["question_id", *CHUNK_KEY]
-    return pairs.join(whole, key, "left").select(*key, score.cast("long").alias("score"))
+    return scored.select(*key, score.cast("long").alias("score")).unionByName(
+        blank_scores(placed, asked)
+    )
 
 
-def whole_questions(pairs: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """The bonus for pairs whose chunk holds the whole question.
+def blank_scores(bodies: DataFrame, asked: DataFrame) -> DataFrame:
+    """Chunks that hold a question without any word; it has no keyword, only the bonus.
 
-    Only pairs with all the keywords are looked at, which such a chunk must have.
+    Such questions differ in their white space alone, so each kind is looked up once.
     """
-    key = ["question_id", *CHUNK_KEY]
-    candidates = materialize(pairs.select(*key), "whole-candidates")
-    bodies = chunks.select(*CHUNK_KEY, F.lower("content").alias("body"))
-    asked = questions.select("question_id", F.lower("question").alias("asked"))
-    return (
-        bodies.join(candidates, CHUNK_KEY)
-        .join(asked, "question_id")
-        .filter(F.contains("body", "asked"))
-        .select(*key, F.lit(T.QUESTION_BONUS).alias("bonus"))
+    blank = asked.filter(F.trim(F.translate("asked", "\t\n\r", "   ")) == "")
+    kinds = blank.agg(F.collect_set("asked")).scalar()
+    held = bodies.withColumn("kinds", kinds).select(
+        *CHUNK_KEY,
+        F.explode(F.filter("kinds", lambda kind: F.contains(F.col("body"), kind))).alias("asked"),
+    )
+    return held.join(blank, "asked").select(
+        "question_id", *CHUNK_KEY, F.lit(T.QUESTION_BONUS).cast("long").alias("score")
     )
 
 

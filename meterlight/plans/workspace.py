@@ -105,7 +105,7 @@ class Workspace:
     @cached_property
     def trained(self) -> Trained:
         """All models, with small ensembles in place of the published sizes."""
-        return train_all(self.features, QUICK_MODELS, restarts=2)
+        return train_all(self.features, QUICK_MODELS)
 
     @cached_property
     def saved(self) -> str:

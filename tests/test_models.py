@@ -214,6 +214,19 @@ def test_trees_get_at_most_the_sample(spark, spiky, sample):
     assert len(sizes) == 20 and max(sizes) <= sample
 
 
+def test_detection_keeps_its_input(spark, spiky):
+    """Nulls count as zero in the score and stay nulls in the table."""
+    holes = spiky.withColumn("energy_std", F.lit(None).cast("double"))
+    forest = anomaly.fit_forest(spiky, trees=10, sample_size=32)
+    scored = anomaly.with_raw_score(forest, holes)
+    assert scored.columns == [*holes.columns, "raw_score"]
+    assert scored.filter("energy_std is null").count() == holes.count()
+    zeros = anomaly.with_raw_score(forest, holes.na.fill(0, ["energy_std"]))
+    key = ["household_id", "day"]
+    both = scored.join(zeros.withColumnRenamed("raw_score", "again").select(*key, "again"), key)
+    assert both.filter("raw_score <> again or raw_score is null").isEmpty()
+
+
 def test_constant_rows_are_not_flagged(spark):
     frame = daily(spark, [("a", 7 * d, 3) for d in range(4)]).withColumn("day", F.lit(START))
     detected = anomaly.fit_detect(frame, 0.05, trees=10)[1]

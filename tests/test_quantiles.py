@@ -29,23 +29,35 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_refinement_equals_numpy(spark, name, bins):
     values = CASES[name]
-    found = exact_quantiles(frame(spark, values), "v", PROBABILITIES, direct_rows=0, bins=bins)
+    found = exact_quantiles(frame(spark, values), "v", PROBABILITIES, finish_rows=0, bins=bins)
     np.testing.assert_allclose(found[0], np.quantile(values, PROBABILITIES), rtol=1e-12, atol=1e-300)
 
 
 def test_groups_and_nulls(spark):
     values = list(np.random.default_rng(4).normal(size=400)) + [None, float("nan")]
     groups = [i % 4 for i in range(402)]
-    for direct in (0, 10**6):
-        found = exact_quantiles(frame(spark, values, groups), "v", [0.5], "g", direct_rows=direct)
+    for finish in (0, 10**6):
+        found = exact_quantiles(frame(spark, values, groups), "v", [0.5], "g", finish_rows=finish)
         for g in range(4):
             mine = [v for v, k in zip(values, groups) if k == g and v is not None and v == v]
             np.testing.assert_allclose(found[g], [np.median(mine)])
 
 
-def test_too_many_groups(spark):
-    with pytest.raises(ValueError, match="groups"):
-        exact_quantiles(frame(spark, range(100), range(100)), "v", [0.5], "g")
+def test_many_groups_and_a_null_group(spark):
+    table = frame(spark, range(300), range(300)).selectExpr("nullif(g, 7) as g", "v")
+    found = exact_quantiles(table, "v", [0.5], "g")
+    assert found == {None if g == 7 else g: [float(g)] for g in range(300)}
+
+
+def test_number_of_passes_changes_no_bit(spark):
+    """The same values, searched directly, over some passes and down to single values."""
+    values = np.random.default_rng(9).lognormal(0, 2, 4000)
+    table = frame(spark, values)
+    found = [
+        exact_quantiles(table, "v", PROBABILITIES, finish_rows=rows, bins=16)[0]
+        for rows in (0, 40, 10**6)
+    ]
+    assert found[0] == found[1] == found[2]
 
 
 def test_no_values(spark):
@@ -66,7 +78,7 @@ def test_grouped_median_equals_numpy(spark, bounded, bins):
     values = [v for part in parts.values() for v in part] + [None]
     groups = [g for g, part in parts.items() for _ in part] + [9]
     table = frame(spark, values, groups)
-    found = grouped_median(table, ["g"], "v", bounded_rows=bounded, bins=bins).collect()
+    found = grouped_median(table, ["g"], "v", finish_rows=bounded, bins=bins).collect()
     assert {r.g: r["median"] for r in found} == pytest.approx(
         {g: np.median(part) for g, part in parts.items()}
     )

@@ -84,6 +84,8 @@ QUESTIONS = [
     "peak day",
     "nothing-matches-this zzzzzz",
     "aa aaa",
+    " ",
+    "",
 ]
 
 
