@@ -174,8 +174,9 @@ class PieceEncoder(WordEncoder):
 
 
 def encoder(path: str) -> WordEncoder:
-    """The encoder of a vocabulary file, made once in a worker."""
+    """The encoder of a vocabulary file, made once in a worker, which holds one at a time."""
     if path not in _READY:
+        _READY.clear()
         _READY[path] = (JsonEncoder if path.endswith(".json") else PieceEncoder)(path)
     return _READY[path]
 

@@ -30,7 +30,7 @@ from meterlight.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
-ROWS_OF_BUCKET = 5_000
+ROWS_OF_BUCKET = 1_000
 
 Knots = list[tuple[float, float]]
 
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, schedules=cycle, share: float = 1.5, most: float = 2.0)
     for s in sources:
         s.knots = knots[s.name]
     set_targets(sources, share, most)
-    buckets = max(64, sum(s.rows for s in sources) // ROWS_OF_BUCKET)
+    buckets = max(256, sum(s.rows for s in sources) // ROWS_OF_BUCKET)
     sized = sized.withColumn("bucket", F.pmod("order", F.lit(buckets)))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = sums.select(
