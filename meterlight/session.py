@@ -49,16 +49,6 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/meterlight/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores when the scan yields fewer tasks than there are cores.
-
-    For CPU-heavy work per row on a few unsplittable files. A larger input already has
-    more tasks than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialize(df: DataFrame, label: str, metrics: dict[str, Column] | None = None):
     """Write ``df`` to the shared folder and read it back.
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from meterlight.functions.calendar import month_key
 from meterlight.schema import DAY, HOUSEHOLD
 
-# Groups of rows per month when writing month folders.
-MONTH_BUCKETS = 64
-
-
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
     df.write.mode("overwrite").csv(path, header=True, encoding=encoding)
     return path
@@ -25,14 +21,13 @@ def write_table(df: DataFrame, path: str) -> str:
 def write_by_month(df: DataFrame, path: str) -> str:
     """Panel partitioned by month, so that a date filter skips whole folders.
 
-    A month is spread over ``MONTH_BUCKETS`` groups of rows by household and day, so one
-    busy month or household fills several tasks. A task's rows are sorted by month, so it
-    holds one file open at a time.
+    Rows are brought together by month, in tasks whose size follows the session's advisory
+    partition size: a large month fills several, small ones share one. A task's rows are
+    sorted by month, so it holds one file open at a time.
     """
-    bucket = F.pmod(F.xxhash64(HOUSEHOLD, DAY), F.lit(MONTH_BUCKETS))
     (
         df.withColumn("year_month", month_key(F.col(DAY)))
-        .repartition("year_month", bucket)
+        .hint("rebalance", "year_month")
         .sortWithinPartitions("year_month", HOUSEHOLD, DAY)
         .write.mode("overwrite")
         .partitionBy("year_month")
