@@ -34,7 +34,7 @@ from meterlight.schema import (
     WEATHER_COLUMNS,
 )
 from meterlight.session import materialize
-from meterlight.sources.readers import first_per_key
+from meterlight.sources.readers import FILE_ORDER, first_per_key
 
 DERIVED_COLUMNS = [*CALENDAR_COLUMNS, HOLIDAY_FLAG, *LAG_COLUMNS, *ROLLING_COLUMNS]
 
@@ -66,8 +66,9 @@ def unfinished_panel(
     measured = [c for c in readings.columns if c in ENERGY_COLUMNS] + [
         c for c in weather.columns if c in WEATHER_COLUMNS
     ]
-    attributes = [c for c in households.columns if c != HOUSEHOLD]
-    one_per_household = first_per_key(households, [HOUSEHOLD], households.columns)
+    attributes = [c for c in households.columns if c not in (HOUSEHOLD, FILE_ORDER)]
+    order = [FILE_ORDER] if FILE_ORDER in households.columns else households.columns
+    one_per_household = first_per_key(households, [HOUSEHOLD], order).drop(FILE_ORDER)
     panel = (
         readings.transform(coerce_types)
         .transform(dedup_readings)

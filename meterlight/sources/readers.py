@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meterlight.functions.numeric import number_or_null
 from meterlight.schema import (
@@ -52,7 +54,7 @@ MISSING_TEXTS = [
     "null",
 ]
 
-_FILE_ORDER = "_file_order"
+FILE_ORDER = "_file_order"
 
 
 def missing_to_null(text: Column) -> Column:
@@ -89,7 +91,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return raw.select(*cells, order.alias(_FILE_ORDER))
+    return raw.select(*cells, order.alias(FILE_ORDER))
 
 
 def scan_readings(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +101,7 @@ def scan_readings(spark: SparkSession, path: str) -> DataFrame:
         raw = raw.withColumnRenamed("LCLid", HOUSEHOLD)
     energy = [c for c in ENERGY_COLUMNS if c in raw.columns]
     ordinal = (
-        F.col(ORDINAL).cast("int") if ORDINAL in raw.columns else F.col(_FILE_ORDER)
+        F.col(ORDINAL).cast("int") if ORDINAL in raw.columns else F.col(FILE_ORDER)
     ).alias(ORDINAL)
     return raw.select(
         HOUSEHOLD,
@@ -126,13 +128,15 @@ def scan_weather(spark: SparkSession, path: str) -> DataFrame:
     weather = raw.select(
         parse_date(F.split(F.col("time"), " ")[0]).alias(DAY),
         *[number_or_null(F.col(s)).alias(t) for s, t in present.items()],
-        _FILE_ORDER,
+        FILE_ORDER,
     )
-    return first_per_key(weather, [DAY], [_FILE_ORDER]).drop(_FILE_ORDER).orderBy(DAY)
+    return first_per_key(weather, [DAY], [FILE_ORDER]).drop(FILE_ORDER).orderBy(DAY)
 
 
-def scan_households(spark: SparkSession, path: str) -> DataFrame:
-    raw = read_csv(spark, path).drop(_FILE_ORDER)
+def scan_households(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
+    """Household attributes; with ``keep_order`` the panel takes a household's first row."""
+    raw = read_csv(spark, path)
+    raw = raw if keep_order else raw.drop(FILE_ORDER)
     return raw.withColumnsRenamed(
         {s: t for s, t in HOUSEHOLD_SOURCE_COLUMNS.items() if s in raw.columns}
     )
@@ -146,45 +150,46 @@ def scan_holidays(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_acorn_details(spark: SparkSession, path: str) -> DataFrame:
     """Customer-category details, a Latin-1 file."""
-    return read_csv(spark, path, encoding="ISO-8859-1").drop(_FILE_ORDER)
+    return read_csv(spark, path, encoding="ISO-8859-1").drop(FILE_ORDER)
 
 
 def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(location)
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Files under a path, none if it is missing."""
+    try:
+        return spark.read.text(path, wholetext=True).inputFiles()
+    except AnalysisException:
+        return []
 
 
 def scan_documents(spark: SparkSession, labelled_paths: dict[str, str]) -> DataFrame:
     """Whole text files with their source label; missing files are skipped.
 
-    Bytes that are not UTF-8 are dropped.
+    All files are read in one scan and joined with their labels by name. Bytes that are not
+    UTF-8 are dropped.
     """
-    present = [(p, label) for p, label in labelled_paths.items() if path_exists(spark, p)]
-    schema = T.StructType(
-        [T.StructField(n, t) for n, t in
-         (("doc_id", T.LongType()), ("source", T.StringType()), ("text", T.StringType()))]
+    labels, found = [], []
+    for path, label in labelled_paths.items():
+        if files := _files(spark, path):
+            found.append(path)
+            labels += [(_one_slash(file), len(labels) + i, label) for i, file in enumerate(files)]
+    schema = "file string, doc_id long, source string"
+    table = spark.createDataFrame(labels, schema)
+    if not labels:
+        return table.select("doc_id", "source", F.lit("").alias("text"))
+    text = F.replace(F.make_valid_utf8(F.col("value")), F.lit("\ufffd"), F.lit(""))
+    file = F.regexp_replace("_metadata.file_path", r"^(\w+):/+", "$1:/")
+    read = spark.read.text(found, wholetext=True)
+    return read.select(file.alias("file"), text.alias("text")).join(table, "file").select(
+        "doc_id", "source", "text"
     )
-    if not present:
-        return spark.createDataFrame([], schema)
-    parts = []
-    for number, (path, label) in enumerate(present):
-        text = F.replace(F.make_valid_utf8(F.col("value")), F.lit("�"), F.lit(""))
-        parts.append(
-            spark.read.text(path, wholetext=True).select(
-                F.lit(number).cast("long").alias("doc_id"),
-                F.lit(label).alias("source"),
-                text.alias("text"),
-            )
-        )
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+
+
+def _one_slash(uri: str) -> str:
+    return re.sub(r"^(\w+):/+", r"\1:/", uri)
 
 
 def document_table(documents: DataFrame) -> DataFrame:

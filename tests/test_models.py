@@ -322,7 +322,7 @@ def test_low_cardinality_counts(spark):
 
 
 def test_silhouette_bands():
-    assert [audit.silhouette_flag(s) for s in (0.1, 0.3, 0.4)] == [
+    assert [audit.silhouette_flag(s) for s in (0.3, 0.5, 0.65)] == [
         "low separation",
         "moderate separation",
         "good separation",

@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from meterlight.plans.panel import unfinished_panel
 from meterlight.session import new_path, shared_folder
 from meterlight.sources import readers, sinks
 
@@ -75,6 +76,28 @@ def test_documents_skip_missing_and_drop_bad_bytes(spark, tmp_path):
     assert readers.scan_documents(spark, {}).isEmpty()
 
 
+def test_documents_of_several_files_in_one_scan(spark, tmp_path):
+    paths = {write(tmp_path, f"part {i}.md", f"text {i}\n".encode()): f"label {i}" for i in range(5)}
+    table = readers.scan_documents(spark, paths)
+    assert sorted(tuple(r) for r in table.collect()) == [
+        (i, f"label {i}", f"text {i}\n") for i in range(5)
+    ]
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_first_household_row_counts(spark, tmp_path):
+    path = write(tmp_path, "h.csv", "LCLid,stdorToU,Acorn,Acorn_grouped,file\nA,ToU,z,z,f\nA,Std,a,a,f\n")
+    households = readers.scan_households(spark, path, keep_order=True)
+    readings = spark.createDataFrame(
+        [("A", date(2013, 1, d), 1.0) for d in range(1, 20)],
+        "household_id string, day date, energy_sum double",
+    ).withColumn("ingest_ordinal", F.lit(1))
+    weather = readings.select("day").withColumn("humidity", F.lit(1.0))
+    panel = unfinished_panel(readings, households, weather, None)
+    assert "_file_order" not in panel.columns
+    assert {r.tariff for r in panel.select("tariff").distinct().collect()} == {"ToU"}
+
+
 @pytest.mark.parametrize(
     "text", ["2013-02-03", "2/3/2013", "Feb 3, 2013", "3 February 2013", "2013/2/3", "20130203",
              "2013-02-03 10:30:00", "2013-02-03T00:00:00"],
