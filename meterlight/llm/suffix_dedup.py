@@ -44,7 +44,8 @@ LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 BLOCK = 1 << 20
-STEP = 1 << 20
+STEP = 1 << 18  # windows hashed at a time
+TOGETHER = 1 << 19  # bytes of passages sorted together
 PLACE = np.uint64((1 << 21) - 1)
 LAST = np.iinfo(np.int64).max
 
@@ -115,7 +116,7 @@ def passages(block: Block):
     table, up, down = _powers()
     data = np.frombuffer(block.bytes, np.uint8)
     n = len(data)
-    valid = np.zeros(n + 1, np.int64)
+    valid = np.zeros(n + 1, np.int32)
     long = block.sizes >= LENGTH
     np.add.at(valid, block.starts[long], 1)
     np.add.at(valid, block.ends[long] - LENGTH + 1, -1)
@@ -145,7 +146,8 @@ def passages(block: Block):
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], windows)
             starts, ends = starts[ok[starts]], ends[ok[starts]]
-            sums = np.concatenate([[0], np.cumsum(part * up[: len(part)])]).astype(np.uint64)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=sums[1:])
             own = mixed((sums[ends - 1 + LENGTH] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
             out.append((gram[chosen[starts]], own, starts + first, ends - starts))
     if not out:
@@ -314,16 +316,28 @@ def _sort(rows: pd.DataFrame) -> pd.DataFrame:
         same[1:] &= x[ordered][1:] == x[ordered][:-1]
     rank = np.empty(len(ordered), np.int64)
     rank[ordered] = np.cumsum(~same)
-    group = np.unique(gram, return_inverse=True)[1]
-    marks = repeated_windows(texts, count, group, np.stack([rank, start], axis=1), LENGTH)
-    flat = np.concatenate([np.append(m, False) for m in marks]).astype(np.int8)
-    owner = np.repeat(np.arange(len(marks)), count + 1)
-    place = ranges(np.zeros(len(marks), np.int64), count + 1)
-    step = np.diff(np.concatenate([[0], flat]))
-    a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    who = owner[a]
-    found = (block[who], doc[who], start[who] + place[a], b - a, gram[who])
-    return _note_frame(_by_block(0, *found))
+    # Groups of a gram are independent; some at a time, so that memory follows the largest.
+    by_gram = np.argsort(gram, kind="stable")
+    new = np.concatenate([[True], gram[by_gram][1:] != gram[by_gram][:-1]])
+    group = np.cumsum(new) - 1
+    size = np.cumsum(count[by_gram] + LENGTH)
+    part = (size[new] - (count[by_gram] + LENGTH)[new])[group] // TOGETHER
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    found = []
+    for a, b in zip(edges, [*edges[1:], len(by_gram)]):
+        own = by_gram[a:b]
+        marks = repeated_windows(
+            [texts[i] for i in own], count[own], group[a:b], np.stack([rank[own], start[own]], axis=1), LENGTH
+        )
+        who = np.repeat(own, count[own])
+        place = ranges(np.zeros(len(own), np.int64), count[own])
+        begins = marks & ~(np.append(False, marks[:-1]) & (place > 0))
+        ends = marks & ~(np.append(marks[1:], False) & (np.append(place[1:], 0) > 0))
+        at = np.flatnonzero(begins)
+        found.append((who[at], place[at], np.flatnonzero(ends) - at + 1))
+    who, place, windows = (np.concatenate(x) for x in zip(*found))
+    notes = (block[who], doc[who], start[who] + place, windows, gram[who])
+    return _note_frame(_by_block(0, *notes))
 
 
 # ---- results ----------------------------------------------------------------------------

@@ -28,41 +28,58 @@ def type_b(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than their successors; separators (0) count as such."""
     change = np.flatnonzero(text[1:] != text[:-1])
     rises = text[change + 1] > text[change]
-    run = np.searchsorted(change, np.arange(len(text)))
-    out = np.concatenate([rises, [False]])[run]
+    lengths = np.diff(np.concatenate([[-1], change, [len(text) - 1]]))
+    out = np.repeat(np.concatenate([rises, [False]]), lengths)
     out[text == 0] = True
     return out
 
 
 def sort_directly(at: np.ndarray, group: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ``at`` ordered by group and then their first ``depth`` bytes."""
+    """Positions ``at`` ordered by group and then their first ``depth`` bytes.
+
+    Eight bytes are looked at a time. Positions that agree so far form a tie; only ties in
+    which the next eight bytes differ are sorted anew.
+    """
     order = at[np.argsort(group, kind="stable")]
-    own = np.sort(group)
+    own = np.sort(group, kind="stable")
     first = np.concatenate([[True], own[1:] != own[:-1]])
     for offset in range(0, depth, 8):
-        start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        alone = first & np.concatenate([first[1:], [True]])
-        slots = np.flatnonzero(~alone)
+        slots = np.flatnonzero(~(first & np.append(first[1:], True)))
         if not len(slots):
             break
-        where = np.minimum(order[slots] + offset, len(words) - 1)
-        key = np.where(order[slots] + offset < len(words), words[where], np.uint64(0))
-        sorting = np.lexsort((key, start[slots]))
+        where = order[slots] + offset
+        key = np.where(where < len(words), words[np.minimum(where, len(words) - 1)], np.uint64(0))
+        new = first[slots]
+        differs = (key[1:] != key[:-1]) & ~new[1:]
+        tie = np.cumsum(new) - 1
+        torn = np.zeros(int(tie[-1]) + 1, bool)
+        torn[tie[1:][differs]] = True
+        some = torn[tie]
+        slots, key, tie = slots[some], key[some], tie[some]
+        if not len(slots):
+            continue
+        sorting = np.lexsort((key, tie))
         order[slots] = order[slots][sorting]
-        key, began = key[sorting], start[slots][sorting]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (began[1:] != began[:-1])])
-        first[slots] |= new
+        key, tie = key[sorting], tie[sorting]
+        first[slots] |= np.concatenate([[True], (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])])
     return order
 
 
-def order_of(text: np.ndarray, included: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+def order_of(
+    text: np.ndarray,
+    included: np.ndarray,
+    group: np.ndarray,
+    depth: int,
+    is_b: np.ndarray | None = None,
+    words: np.ndarray | None = None,
+) -> np.ndarray:
     """Included positions ordered by group and suffix.
 
     ``text`` holds bytes above 0, with 0 after each passage. With every included position of
     type A the one after it must be included too.
     """
-    is_b = type_b(text)
-    words = words_at(text)
+    is_b = type_b(text) if is_b is None else is_b
+    words = words_at(text) if words is None else words
     direct = np.flatnonzero(included & is_b)
     direct = sort_directly(direct, group[direct], words, depth)
     induced = included & ~is_b
@@ -110,8 +127,8 @@ def same_prefix(left: np.ndarray, right: np.ndarray, words: np.ndarray, depth: i
 
 def repeated_windows(
     passages: list[bytes], counts: np.ndarray, groups: np.ndarray, order: np.ndarray, depth: int
-) -> list[np.ndarray]:
-    """For each passage, which of its first ``counts`` windows of ``depth`` bytes come again.
+) -> np.ndarray:
+    """Which windows of ``depth`` bytes come again: ``counts`` of each passage, one after the other.
 
     A window is marked if the same bytes stand in a passage of its group that comes earlier;
     ``order`` (two columns: document rank, first window's place) says which is earlier.
@@ -119,29 +136,31 @@ def repeated_windows(
     sizes = np.fromiter(map(len, passages), np.int64, len(passages)) + 1
     starts = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"\xff".join(passages) + b"\xff", np.uint8)
-    if (raw == 255).sum() != len(passages):
+    if np.count_nonzero(raw == 255) != len(passages):
         raise ValueError("texts must be UTF-8")
     text = raw + np.uint8(1)  # 0xFF, which UTF-8 never has, becomes the separator 0
-    owner = np.repeat(np.arange(len(passages)), sizes)
-    group = groups[owner]
-    edge = np.zeros(len(text) + 1, np.int64)
-    edge[starts] += 1
-    np.add.at(edge, starts + counts, -1)
-    valid = np.cumsum(edge)[:-1] > 0
-    b_places = np.flatnonzero(type_b(text))
+    is_b = type_b(text)
+    b_places = np.flatnonzero(is_b)
     last = b_places[np.searchsorted(b_places, starts + counts - 1)]
-    edge[:] = 0
-    edge[starts] += 1
-    np.add.at(edge, last + 1, -1)
-    included = np.cumsum(edge)[:-1] > 0
-    found = order_of(text, included, group, depth)
-    found = found[valid[found]]
+    owner = np.repeat(np.arange(len(passages), dtype=np.int32), sizes)
+    group = groups.astype(np.int32)[owner]
+    place = np.arange(len(text)) - starts[owner]
+    valid = place < counts[owner]
+    included = place <= (last - starts)[owner]
     words = words_at(text)
-    same = (group[found][1:] == group[found][:-1]) & same_prefix(found[:-1], found[1:], words, depth)
-    run = np.cumsum(np.concatenate([[True], ~same])) if len(found) else np.empty(0, np.int64)
-    place = order[owner[found], 1] + found - starts[owner[found]]
-    earliest = np.lexsort((place, order[owner[found], 0], run))
-    first = np.concatenate([[True], run[earliest][1:] != run[earliest][:-1]]) if len(found) else []
+    found = order_of(text, included, group, depth, is_b, words)
+    found = found[valid[found]]
     marked = np.zeros(len(text), bool)
-    marked[found[earliest[~np.asarray(first, bool)]]] = True
-    return [marked[s : s + n] for s, n in zip(starts.tolist(), counts.tolist())]
+    if len(found):
+        same = group[found][1:] == group[found][:-1]
+        at = np.flatnonzero(same)
+        same[at] = same_prefix(found[at], found[at + 1], words, depth)
+        run = np.cumsum(np.concatenate([[True], ~same]))
+        # Only runs of several windows are looked at further.
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        found, run = found[several], run[several]
+        who = owner[found]
+        earliest = np.lexsort((order[who, 1] + place[found], order[who, 0], run))
+        first = np.concatenate([[True], run[earliest][1:] != run[earliest][:-1]])[: len(run)]
+        marked[found[earliest[~first]]] = True
+    return marked[valid]

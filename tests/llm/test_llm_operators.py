@@ -239,8 +239,12 @@ def test_suffix_sort_marks_later_windows():
             for j in range(n):
                 key, place = (g, p[j : j + 8]), (o[0], o[1] + j)
                 first[key] = min(first.get(key, place), place)
-        for p, n, g, o, marks in zip(passages, counts, groups, order, got):
-            assert marks.tolist() == [first[g, p[j : j + 8]] != (o[0], o[1] + j) for j in range(n)]
+        wanted = [
+            first[g, p[j : j + 8]] != (o[0], o[1] + j)
+            for p, n, g, o in zip(passages, counts, groups, order)
+            for j in range(n)
+        ]
+        assert got.tolist() == wanted
 
 
 def test_suffix_order_is_the_suffix_order():
