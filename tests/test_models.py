@@ -167,7 +167,8 @@ def test_forest_finds_spikes(spark, spiky):
     forest, detected = anomaly.fit_detect(spiky, 0.05, trees=60, sample_size=64)
     rows = detected.collect()
     flagged = [r for r in rows if r.is_anomaly]
-    assert 0 < len(flagged) <= 0.05 * len(rows)
+    # The offset lies after place 0.05 * (n - 1), so up to that place and one more are below it.
+    assert 0 < len(flagged) <= int(0.05 * (len(rows) - 1)) + 1
     assert all(r.anomaly_score < 0 for r in flagged)
     assert {r.energy_sum for r in flagged} >= {500.0, 505.0}
     assert forest.nodes.count() <= 60 * (2 * 64 - 1)
