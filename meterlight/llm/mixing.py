@@ -31,6 +31,7 @@ from meterlight.llm.common import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 ROWS_OF_BUCKET = 1_000
+MOST_SOURCES = 100_000  # the recipe has a row for each and is broadcast
 
 Knots = list[tuple[float, float]]
 
@@ -125,7 +126,10 @@ def mix(docs: DataFrame, schedules=cycle, share: float = 1.5, most: float = 2.0)
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
     sized = materialize(sized.withColumn("order", order), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
-    sources = [Source(r["source"], [], r["size"], r["rows"]) for r in totals.collect()]
+    rows = totals.limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them before mixing")
+    sources = [Source(r["source"], [], r["size"], r["rows"]) for r in rows]
     knots = schedules([s.name for s in sources])
     for s in sources:
         s.knots = knots[s.name]
