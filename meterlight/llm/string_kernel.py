@@ -12,7 +12,8 @@ import numpy as np
 ORDER = 3
 DECAY = np.float32(0.8)
 WIDTH = 24  # letters of a word; longer words are seen in overlapping parts
-TOGETHER = 1 << 14
+TOGETHER = 1 << 14  # pairs
+WORDS_AT_ONCE = 1 << 14
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -31,15 +32,16 @@ def masks(codes: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1)
 
 
-def raw(left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray):
-    """Kernel of each pair of rows, not normalised."""
-    out = np.zeros(len(left), np.float32)
-    order = np.argsort(n_left, kind="stable")
-    for first in range(0, len(left), TOGETHER):
+def raw(left, n_left, right, n_right, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Kernel of word ``row`` of the left and word ``column`` of the right, not normalised."""
+    out = np.zeros(len(row), np.float32)
+    order = np.argsort(n_left[row], kind="stable")
+    for first in range(0, len(row), TOGETHER):
         at = order[first : first + TOGETHER]
+        i, j = row[at], column[at]
         out[at] = _raw(
-            left[at, : n_left[at].max(initial=0)].T.copy(),
-            right[at, : n_right[at].max(initial=0)].T.copy(),
+            left[i, : n_left[i].max(initial=0)].T.copy(),
+            right[j, : n_right[j].max(initial=0)].T.copy(),
         )
     return out
 
@@ -79,21 +81,38 @@ class Landmarks:
         self.codes, self.lengths = letters(words)
         self.masks = masks(self.codes)
         self.needed = np.ceil(self.COMMON * np.bitwise_count(self.masks)).astype(np.int64)
-        self.own = raw(self.codes, self.lengths, self.codes, self.lengths)
+        every = np.arange(len(words))
+        self.own = raw(self.codes, self.lengths, self.codes, self.lengths, every, every)
 
     def kernels(self, words: list[str], power: int) -> np.ndarray:
         """Normalised kernels to the given power: a row for each word, a column by landmark."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            row, column, value = self._some(words[first : first + WORDS_AT_ONCE], power)
+            out[first + row, column] = value
+        return out
+
+    def sparse(self, words: list[str], power: int):
+        """The kernels that aren't zero: word, landmark, value."""
+        parts = []
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            row, column, value = self._some(words[first : first + WORDS_AT_ONCE], power)
+            parts.append((first + row, column, value))
+        nothing = np.empty(0, np.int64)
+        return tuple(
+            np.concatenate(x) for x in zip((nothing, nothing, nothing.astype(np.float32)), *parts)
+        )
+
+    def _some(self, words: list[str], power: int):
         codes, lengths = letters(words)
-        own_masks = masks(codes)
-        common = np.bitwise_count(own_masks[:, None] & self.masks[None, :])
+        common = np.bitwise_count(masks(codes)[:, None] & self.masks[None, :])
         near = (common >= self.needed[None, :]) & (lengths >= ORDER)[:, None]
         row, column = np.nonzero(near)
         some = np.unique(row)
         own = np.zeros(len(words), np.float32)
-        own[some] = raw(codes[some], lengths[some], codes[some], lengths[some])
-        value = raw(codes[row], lengths[row], self.codes[column], self.lengths[column])
-        out = np.zeros(near.shape, np.float32)
+        own[some] = raw(codes, lengths, codes, lengths, some, some)
+        value = raw(codes, lengths, self.codes, self.lengths, row, column)
         norm = np.sqrt(own[row] * self.own[column])
         value = np.where(norm > 0, value / np.where(norm > 0, norm, 1), 0) ** power
-        out[row, column] = np.where(value >= self.FLOOR, value, 0)
-        return out
+        kept = (value >= self.FLOOR) & (value > 0)
+        return row[kept], column[kept], value[kept]

@@ -26,7 +26,6 @@ does. Further columns are ignored, and an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -110,8 +109,9 @@ class Model:
         split = [parts(w) for w in words]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         flat = list(chain.from_iterable(split))
-        values = self.landmarks.kernels(flat, POWER) @ self.weights
-        return np.bincount(np.repeat(np.arange(len(words)), counts), values, len(words))
+        row, column, value = self.landmarks.sparse(flat, POWER)
+        owner = np.repeat(np.arange(len(words)), counts)
+        return np.bincount(owner[row], value * self.weights[column], len(words))
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
@@ -156,54 +156,88 @@ def _with_letter(word: str, number: int) -> str:
     return word[:at] + chr(97 + (spread >> 20) % 26) + word[at:]
 
 
-def landmarks(words: list[set[str]], toxic: np.ndarray) -> tuple[list[str], int]:
+def landmarks(
+    names: list[str], word: np.ndarray, doc: np.ndarray, toxic: np.ndarray
+) -> tuple[list[str], int]:
     """Landmark words, toxic ones first, and how many of them are toxic.
 
-    Each toxic one has the greatest gain (share of the toxic documents with words like fewer than
-    COVER earlier landmarks, less share of the clean ones, times their ratio). The clean ones are the
-    words of clean documents that come nearest to them, weighed by how many documents have them.
+    ``word`` and ``doc`` hold each document's distinct words. Each toxic landmark has the
+    greatest gain (share of the toxic documents with words like fewer than COVER earlier
+    landmarks, less share of the clean ones, times their ratio). The clean ones are the words
+    of clean documents that come nearest to them, weighed by how many documents have them.
     """
-    bad = [sorted(w for w in own if 3 <= len(w) <= WIDTH) for own, t in zip(words, toxic) if t]
-    good = Counter(w for own, t in zip(words, toxic) if not t for w in own if 3 <= len(w) <= WIDTH)
-    n_good = max(1, int((~toxic).sum()))
-    names = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(bad)))}
-    listed = list(names)
-    in_good = np.array([good[w] / n_good for w in listed])
-    doc = np.repeat(np.arange(len(bad)), [len(own) for own in bad])
-    word = np.array([names[w] for w in chain.from_iterable(bad)], np.int64)
-    covered = np.zeros(len(bad), np.int64)
-    open_docs = covered < COVER
+    fits = np.fromiter((3 <= len(w) <= WIDTH for w in names), bool, len(names))[word]
+    word, doc = word[fits], doc[fits]
+    bad = toxic[doc]
+    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    good_docs = np.bincount(word[~bad], minlength=len(names))
+    in_good = good_docs / n_good
+    word, doc = word[bad], doc[bad]
+    listed = np.unique(word)
+    texts = [names[i] for i in listed]
+    covered = np.where(toxic, 0, COVER)
     chosen: list[str] = []
-    while len(chosen) < TOXIC_LANDMARKS and open_docs.any():
-        in_bad = np.bincount(word[open_docs[doc]], minlength=len(listed)) / max(1, len(bad))
+    while len(chosen) < TOXIC_LANDMARKS:
+        open_docs = covered < COVER
+        in_bad = np.bincount(word[open_docs[doc]], minlength=len(names)) / n_bad
         gain = (in_bad - in_good) * np.abs(in_bad - in_good) / np.maximum(in_bad + in_good, 1e-12)
-        fit = (in_bad * len(bad) >= max(5, FEWEST * len(bad))) & (in_bad >= RATIO * in_good)
+        fit = (in_bad * n_bad >= max(5, FEWEST * n_bad)) & (in_bad >= RATIO * in_good)
         if not fit.any():
             break
         best = int(np.where(fit, gain, -np.inf).argmax())
-        chosen.append(listed[best])
-        near = Landmarks([listed[best]]).kernels(listed, POWER)[:, 0] >= LIKE
-        covered[np.unique(doc[near[word]])] += 1
+        chosen.append(names[best])
         in_good[best] = 1.0  # chosen once
-        open_docs = covered < COVER
-    clean = [w for w in good if w not in names or good[w] / n_good >= in_good.mean()]
-    if chosen:
-        likeness = Landmarks(chosen).kernels(clean, POWER).max(axis=1)
-        value = likeness * np.array([good[w] for w in clean])
-        order = np.argsort(-value, kind="stable")[:CLEAN_LANDMARKS]
-        return chosen + [clean[i] for i in order if value[i] > 0 and clean[i] not in chosen], len(chosen)
-    return chosen, 0
+        row, _, value = Landmarks([names[best]]).sparse(texts, POWER)
+        near = np.zeros(len(names), bool)
+        near[listed[row[value >= LIKE]]] = True
+        covered[np.unique(doc[near[word]])] += 1
+    if not chosen:
+        return [], 0
+    clean = np.flatnonzero(good_docs)
+    row, _, value = Landmarks(chosen).sparse([names[i] for i in clean], POWER)
+    likeness = np.zeros(len(clean), np.float32)
+    np.maximum.at(likeness, row, value)
+    worth = likeness * good_docs[clean]
+    order = [i for i in np.argsort(-worth, kind="stable")[: 2 * CLEAN_LANDMARKS] if worth[i] > 0]
+    near_misses = [names[clean[i]] for i in order if names[clean[i]] not in chosen]
+    return chosen + near_misses[:CLEAN_LANDMARKS], len(chosen)
+
+
+class Sentences:
+    """Sentences of documents as runs of word numbers."""
+
+    def __init__(self, texts: list[bytes]):
+        known: dict[bytes, int] = {}
+        self.names: dict[str, int] = {}
+        slots, sizes, doc = [], [], []
+        for d, text in enumerate(texts):
+            for words in sentences(text):
+                for word in words:
+                    if word not in known:
+                        known[word] = self.names.setdefault(plain(word), len(self.names))
+                slots.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                sizes.append(len(words))
+                doc.append(d)
+        self.slots = np.concatenate([np.empty(0, np.int32), *slots])
+        self.sizes = np.array(sizes, np.int64)
+        self.doc = np.array(doc, np.int64)
+
+    def words_of_docs(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.unique(np.repeat(self.doc, self.sizes) * len(self.names) + self.slots)
+        return pairs % len(self.names), pairs // len(self.names)
 
 
 def fit(texts: list[bytes], labels: list[int]) -> Model:
     """A model from labelled documents."""
     toxic = np.array(labels, bool)
+    nothing = Model(None, np.empty(0), 0.0, 0.0, -40.0)
     if not toxic.any() or toxic.all():
-        return Model(None, np.empty(0), 0.0, 0.0, -40.0)
-    split = [[[plain(w) for w in s] for s in sentences(t)] for t in texts]
-    chosen, n_toxic = landmarks([set(chain.from_iterable(d)) for d in split], toxic)
+        return nothing
+    found = Sentences(texts)
+    names, doc = list(found.names), found.doc
+    chosen, n_toxic = landmarks(names, *found.words_of_docs(), toxic)
     if not chosen:
-        return Model(None, np.empty(0), 0.0, 0.0, -40.0)
+        return nothing
     marks = Landmarks(chosen)
     square = marks.kernels(marks.words, POWER).astype(float)
     square = np.maximum(square, square.T)
@@ -211,41 +245,50 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])  # rows of a sentence's kernels to its space
 
-    names = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(chain.from_iterable(split))))}
     pieces = [parts(w) for w in names]
-    counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    kernels = marks.kernels(list(chain.from_iterable(pieces)), POWER)
-    of_word = np.zeros((len(names), len(marks.words)))
-    np.add.at(of_word, np.repeat(np.arange(len(names)), counts), kernels)
-
-    doc = np.array([d for d, own in enumerate(split) for _ in own], np.int64)
-    rows = np.zeros((len(doc), len(marks.words)))
-    flat = list(chain.from_iterable(split))
-    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-    slots = np.array([names[w] for s in flat for w in s], np.int64)
-    np.add.at(rows, np.repeat(np.arange(len(flat)), sizes), of_word[slots])
+    owner = np.repeat(np.arange(len(names)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    row, column, value = marks.sparse(list(chain.from_iterable(pieces)), POWER)
+    like = np.unique(owner[row])  # words like a landmark; the others add nothing
+    place = np.full(len(names), -1)
+    place[like] = np.arange(len(like))
+    of_word = np.zeros((len(like), len(chosen)), np.float32)
+    np.add.at(of_word, (place[owner[row]], column), value)
+
+    sentence = np.repeat(np.arange(len(doc)), found.sizes)
+    at = place[found.slots]
+    some = np.unique(sentence[at >= 0])  # the other sentences all lie at the origin
+    of_sentence = np.full(len(doc), len(some))
+    of_sentence[some] = np.arange(len(some))
+    rows = np.zeros((len(some) + 1, len(chosen)), np.float32)
+    np.add.at(rows, of_sentence[sentence[at >= 0]], of_word[at[at >= 0]])
     space = np.hstack([rows @ root, np.ones((len(rows), 1))])
+    best_word = np.full(len(rows), -1)
+    worth = of_word[:, :n_toxic].sum(axis=1)
+    hit = np.flatnonzero(at >= 0)
+    hit = hit[np.argsort(worth[at[hit]], kind="stable")]
+    best_word[of_sentence[sentence[hit]]] = found.slots[hit]  # the last one stays: the worst
 
-    score = rows[:, :n_toxic].sum(axis=1)
+    score = rows[:, :n_toxic].sum(axis=1)[of_sentence]
     clean = np.flatnonzero(~toxic[doc])
+    at_origin = of_sentence[clean] == len(some)
+    origin, clean = int(at_origin.sum()), clean[~at_origin]
     # Sentences of toxic documents with a word that all but is a toxic landmark are toxic too.
-    sure = np.flatnonzero(toxic[doc] & (rows[:, :n_toxic].max(axis=1, initial=0) >= SURE))
+    sure = rows[:, :n_toxic].max(axis=1, initial=0)[of_sentence] >= SURE
+    sure = np.flatnonzero(toxic[doc] & sure)
     for _ in range(ROUNDS):
         worst = np.union1d(_highest(score, doc, np.flatnonzero(toxic)), sure)
-        shown, numbers = [], []
-        for k, s in enumerate(worst):
-            own = flat[s]
-            best = max(own, key=lambda w: of_word[names[w], :n_toxic].sum(), default="")
-            if len(best) > 3:
-                shown.append(_with_letter(best, k))
-                numbers.append(s)
-        changed = marks.kernels(shown, POWER) @ root if shown else np.empty((0, root.shape[1]))
+        words = [names[best_word[i]] if best_word[i] >= 0 else "" for i in of_sentence[worst]]
+        shown = [_with_letter(w, k) for k, w in enumerate(words) if len(w) > 3]
+        changed = marks.kernels(shown, POWER) @ root
         changed = np.hstack([changed, np.ones((len(changed), 1))])
-        x = np.vstack([space[worst], changed, space[clean]])
-        y = np.concatenate([np.ones(len(worst) + len(changed)), -np.ones(len(clean))])
-        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-        w = _svm(x, y, weight * len(y))
-        score = space @ w
+        x = np.vstack([space[of_sentence[worst]], changed, space[of_sentence[clean]], space[-1:]])
+        y = np.ones(len(x))
+        y[len(worst) + len(changed) :] = -1
+        often = np.ones(len(x))
+        often[-1] = origin
+        weight = often * np.where(y > 0, 0.5 / often[y > 0].sum(), 0.5 / max(1, often[y < 0].sum()))
+        w = _svm(x, y, weight * often.sum())
+        score = (space @ w)[of_sentence]
     margins = np.full(len(texts), w[-1])
     np.maximum.at(margins, doc, score)
     slope, shift = _logistic(margins, np.where(toxic, 1, -1))
