@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from meterlight.session import materialize, shared_folder  # noqa: F401  (used by the operators)
 
 #: Bytes of text that a Python task works on at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Characters between words in the contracts of the queries: space, and 9 to 13.
 WHITE = b" \t\n\x0b\x0c\r"
 
