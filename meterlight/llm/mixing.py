@@ -193,25 +193,21 @@ def mixed_documents(docs: DataFrame, schedules=cycle, share: float = 1.5, most:
     Keeps the columns of ``docs``; a cut text ends after the last word taken, and a column
     ``n_chars`` is set anew.
     """
-    plan = mix(docs, schedules, share, most).where("taken > 0")
-    twins = Window.partitionBy("doc_id", "source", "size")
-    plan = plan.withColumn("twin", F.row_number().over(twins.orderBy("passes"))).select(
-        *[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "size", "twin", "passes")]
-    )
-    own = docs.withColumn("_mix_words", words(F.col("text"))).withColumn("_mix_hash", F.xxhash64("text"))
-    own = own.withColumn(
-        "_mix_twins", F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_words").orderBy("_mix_hash"))
-    )
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_mix_doc_id"))
-        & F.col("source").eqNullSafe(F.col("_mix_source"))
-        & (F.col("_mix_words") == F.col("_mix_size"))
-        & (F.col("_mix_twins") == F.col("_mix_twin"))
-    )
-    due = own.join(plan, same).withColumn("_mix_due", F.explode("_mix_passes"))
+    key = F.struct("doc_id", "source", "size").alias("_mix_key")
+    plan = mix(docs, schedules, share, most).where("taken > 0").select(key, "passes")
+    plan = plan.groupBy("_mix_key").agg(F.sort_array(F.collect_list("passes")).alias("_mix_plans"))
+    count = words(F.col("text")).alias("size")
+    own = docs.withColumn("_mix_own", F.struct("doc_id", "source", count))
+    # Structs are equal where both hold a null. Rows with the same key share its plans; the
+    # window rides on the join's shuffle, so texts move once to their plan and once to their place.
+    twins = Window.partitionBy("_mix_key").orderBy(F.xxhash64("text"))
+    due = own.join(plan, F.col("_mix_own") == F.col("_mix_key"))
+    due = due.withColumn("_mix_twin", F.row_number().over(twins))
+    due = due.where(F.col("_mix_twin") <= F.size("_mix_plans"))
+    due = due.withColumn("_mix_due", F.explode(F.element_at("_mix_plans", F.col("_mix_twin"))))
     cut = F.array_join(F.slice(F.split("text", WORD_END), F.lit(1), F.col("_mix_due.words").cast("int")), "")
     due = due.withColumn(
-        "text", F.when(F.col("_mix_due.words") < F.col("_mix_words"), cut).otherwise(F.col("text"))
+        "text", F.when(F.col("_mix_due.words") < F.col("_mix_key.size"), cut).otherwise(F.col("text"))
     )
     if "n_chars" in docs.columns:
         due = due.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
