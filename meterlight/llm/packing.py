@@ -3,8 +3,9 @@
 Documents become pieces of at most ``capacity`` tokens. How many pieces have each length is
 all that planning needs: at most ``capacity`` numbers, whatever the number of documents.
 
-1. Linear grouping: pieces longer than ``small`` are sorted by length and dealt into
-   ``groups`` groups of equal cardinality; each length is rounded up to its group's longest.
+1. Linear grouping: large pieces are sorted by length and dealt into ``groups`` groups of equal
+   cardinality; each length is rounded up to its group's longest. From which length on a piece
+   is large is tried at some shares of the capacity.
 2. Configurations: the linear programme over fillings of a sequence by rounded sizes is solved
    by column generation; its whole part is taken, the rest is packed best-fit.
 3. Substitution: actual pieces, longest first, take the places of their group.
@@ -143,17 +144,17 @@ class Plan:
             self.kinds.append((sequences, tuple(sorted(filling.items(), reverse=True))))
 
 
-def plan(
-    counts: dict[int, int], capacity: int = CAPACITY, small: int | None = None, groups: int = 48
-) -> Plan:
+#: Shares of the capacity above which a piece is large; the plan with the fewest sequences is taken.
+LARGE = (1 / 8, 1 / 3, 4 / 9, 1 / 2)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 96) -> Plan:
     """Fillings of sequences that hold ``counts[n]`` pieces of each length ``n``.
 
-    Rounding up costs room that only small pieces win back. So the same counts are planned
-    with coarse and fine groups and with every length for itself (best fit alone), and the
-    plan with the fewest sequences is taken.
+    Rounding up costs room that only small pieces win back. How many pieces should count as
+    large depends on the lengths, so each limit of LARGE is planned.
     """
-    small = capacity // 8 if small is None else small
-    tries = [_planned(counts, capacity, small, g) for g in (groups, 2 * groups, 0)]
+    tries = [_planned(counts, capacity, int(capacity * share), groups) for share in LARGE]
     return min(tries, key=lambda p: sum(sequences for sequences, _ in p.kinds))
 
 
@@ -161,7 +162,7 @@ def _planned(counts: dict[int, int], capacity: int, small: int, groups: int) ->
     out = Plan(capacity)
     left = {n: c for n, c in counts.items() if c > 0}
     out.add(left.pop(capacity, 0), {capacity: 1})
-    sizes = grouped(left, small, groups) if groups else []
+    sizes = grouped(left, small, groups)
     shapes: list[list] = []  # [sequences, {length: copies}, room]
     if sizes:
         upper = np.array([n for n, _ in sizes], np.int64)
@@ -288,7 +289,7 @@ def _placed(table: np.ndarray):
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 48) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 96) -> DataFrame:
     """``pieces`` (a stored table with ``doc_id``, ``piece``, ``length``) with their places.
 
     Adds ``sequence_id`` and ``offset``. The plan is made on the driver from one row for each
