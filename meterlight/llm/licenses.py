@@ -5,6 +5,12 @@ among known licence sentences. What remains of a document is the sequence of ide
 ``-`` for any run of other sentences. The rules, long ones first, are matched against that
 sequence; what a rule matches is used up.
 
+A known sentence may run over line breaks, whatever the case of the next line, and over the
+stops that its real wording has inside (``INSIDE``: 'free software; you can'); a clause may bear
+a number. Long wordings are looked up first. ``n_sentences`` counts the pieces of the plain cut.
+Only texts with a word of ``HINTS``, one of which stands in every known sentence, are looked up.
+``sql()`` looks up single pieces of the plain cut, so it misses wordings that run over a cut.
+
 All of it is expressions on a document's own row: no shuffle, no Python. Null and empty texts
 have no sentences. Repeated rows and ties are scanned each, further columns are ignored, and an
 empty table gives an empty result.
@@ -130,6 +136,21 @@ RULES = [
     ("all-rights-reserved", "s080"),
 ]
 
+# Words after which a sentence's real wording has a stop.
+INSIDE = {
+    "s030": ("software", "foundation"),
+    "s031": ("software", "foundation"),
+    "s032": ("any warranty",),
+    "s040": ("license v",),
+    "s070": ("identifier",),
+    "s071": ("identifier",),
+    "s072": ("identifier",),
+    "s073": ("identifier",),
+}
+#: Sentences that are clauses of a list and may begin with a number.
+CLAUSES = ("s021", "s022", "s023")
+HINTS = ("licen", "software", "redistribution", "warranty", "reserved")
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that goes on with a small letter is one sentence with the line before it.
 WRAPPED = r"([^.!?\n])\n[ \t]*([a-z(])"
@@ -146,26 +167,61 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.trim(one), "\n"), lambda s: s != "")
 
 
-def identifiers(found: Column) -> Column:
-    """The sequence of known sentences as a string, runs of others as one ``-``."""
-    names = F.array(*[F.lit(s) for s in SENTENCES])
-    keys = F.array(*[F.lit(s) for s in SENTENCES.values()])
-    known = F.transform(
-        found,
-        lambda s: F.when(
-            F.array_position(keys, s) > 0, F.element_at(names, F.array_position(keys, s).cast("int"))
-        ).otherwise(F.lit("-")),
+def _pattern(name: str) -> str:
+    """A regular expression for a known sentence between cuts: S for a stop, a line break otherwise."""
+    inside = SENTENCES[name]
+    for words in INSIDE.get(name, ()):
+        inside = inside.replace(words + " ", words + "|", 1)
+    inside = inside.replace(" ", "[ \\n]").replace("|", "[ \\nS]")
+    number = r"(?:(?:[0-9]{1,2}|[a-d]|i{1,3}|iv)[ \nS])?" if name in CLAUSES else ""
+    return rf"(?<=^|[\nS]){number}{inside}(?=[\nS]|$)"
+
+
+def identifiers(text: Column, words: Column) -> Column:
+    """The sequence of a text's known sentences as a string, runs of others as one ``-``.
+
+    ``words`` are the text's sentences joined by spaces.
+    """
+    one = F.regexp_replace(F.coalesce(text, F.lit("")), WRAPPED, "$1 $2")
+    one = F.regexp_replace(F.translate(one, UPPER, LOWER), STOP, "S\n")
+    one = F.regexp_replace(F.regexp_replace(one, "[^a-z0-9\nS]+", " "), EDGE, "\n")
+    one = F.trim(F.regexp_replace(one, r"[ \n]?S[ \nS]*", "S"))
+    # Every sentence that the words hold in a row is looked up with its cuts; K marks a hit.
+    longest = sorted(SENTENCES, key=lambda name: -len(SENTENCES[name]))
+    known = F.array(
+        *[
+            F.struct(
+                F.lit(SENTENCES[name]).alias("words"),
+                F.lit(_pattern(name)).alias("pattern"),
+                F.lit("K" + name).alias("mark"),
+            )
+            for name in longest
+        ]
+    )
+    marked = F.aggregate(
+        known,
+        one,
+        lambda now, s: F.when(
+            F.contains(words, s["words"]), F.regexp_replace(now, s["pattern"], s["mark"])
+        ).otherwise(now),
     )
-    return F.regexp_replace(F.array_join(known, ""), "-+", "-")
+    pieces = F.filter(F.split(marked, "[\nS]"), lambda s: s != "")
+    names = F.transform(pieces, lambda s: F.when(s.startswith("K"), F.substring(s, 2, 4)).otherwise("-"))
+    hint = F.lit(False)
+    for word in HINTS:
+        hint = hint | F.contains(words, F.lit(word))
+    plain = F.when(words != "", "-").otherwise("")
+    return F.when(hint, F.regexp_replace(F.array_join(names, ""), "-+", "-")).otherwise(plain)
 
 
 def scan(docs: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """Each document's sentences, identifier sequence, licences and left-over known sentences."""
-    found = docs.select("doc_id", sentences(F.col("text")).alias("found"))
+    found = docs.select("doc_id", "text", sentences(F.col("text")).alias("found"))
+    found = found.select("doc_id", "text", "found", F.array_join("found", " ").alias("words"))
     found = found.select(
         "doc_id",
         F.size("found").cast("long").alias("n_sentences"),
-        identifiers(F.col("found")).alias("sequence"),
+        identifiers(F.col("text"), F.col("words")).alias("sequence"),
     )
     found = found.withColumn("left", F.col("sequence"))
     names = list(dict.fromkeys(name for name, _ in rules))

@@ -486,6 +486,96 @@ def test_licenses_equal_sql_and_rules(documents, odd, empty, spark):
     assert found[1]["licenses"] == "MIT"
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """    This program is free software%s you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation%s either version %d of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 A
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licenses_of_verbatim_texts(spark):
+    commented = "".join(f"# {line}\n" for line in APACHE.splitlines())
+    wanted = [
+        (MIT, "MIT", "s002-s003s004s005s006"),
+        (APACHE, "Apache-2.0", "s011s012s013s014s015"),
+        (commented, "Apache-2.0", "s011s012s013s014s015"),
+        (BSD, "BSD-2-Clause", "s020s021s022"),
+        (BSD.replace("1.", "(a)").replace("2.", "(b)"), "BSD-2-Clause", "s020s021s022"),
+        (BSD.replace("1. ", "* ").replace("2. ", "* "), "BSD-2-Clause", "s020s021s022"),
+        (BSD + NAMES, "BSD-3-Clause", "s020s021s022s023"),
+        (GPL % (";", ";", 2), "GPL-2.0-or-later", "s031s032s033"),
+        (GPL % (":", ",", 3), "GPL-3.0-or-later", "s030s032s033"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n"
+         "License, v. 2.0. If a copy of the MPL was not distributed, get one.", "MPL-2.0", "s040-"),
+        ("// SPDX-License-Identifier: MIT\n\nint x;", "MIT", "s070-"),
+        ("# SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0", "s071"),
+        ("/* SPDX-License-Identifier: GPL-3.0-only */", "GPL-3.0-only", "s072"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause", "s073"),
+        ("It is\nReleased under the\nMIT License.", "MIT", "-s007"),
+        ("This is not released under the MIT License.", "", "-"),
+        ("Not a software. Of any kind.", "", "-"),
+    ]
+    made = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(wanted)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(made).collect()}
+    for i, (_, name, sequence) in enumerate(wanted):
+        assert (found[i]["licenses"], found[i]["sequence"]) == (name, sequence), i
+    assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES.values())
+
+
 # ---- 10: SimHash ------------------------------------------------------------------------
 
 
