@@ -237,6 +237,18 @@ def links(prints: DataFrame, distance: int = 2, segments: int = 8, pairwise: int
     return sorted_rows.mapInPandas(_links(segments, distance, pairwise), "a long, b long")
 
 
+def _rooted(prints: DataFrame, smallest: Column, distance: int, segments: int) -> DataFrame:
+    """Each fingerprint with its class, ``root``, and its own ``smallest``."""
+    by_print = materialize(prints.groupBy("print").agg(smallest.alias("smallest")), "classes")
+    found = materialize(links(by_print.select("print"), distance, segments), "links")
+    linked = components(found)
+    root = F.coalesce("root", "print")
+    rooted = by_print.join(linked.withColumnRenamed("node", "print"), "print", "left").select(
+        "print", root.alias("root"), "smallest"
+    )
+    return materialize(rooted, "roots")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 8
 ) -> DataFrame:
@@ -245,27 +257,31 @@ def near_duplicates(
     own = materialize(
         docs.select("doc_id", fingerprint(text_bytes(), shingle).alias("print")), "prints"
     )
-    by_print = materialize(own.groupBy("print").agg(F.min("doc_id").alias("smallest")), "classes")
-    found = materialize(links(by_print.select("print"), distance, segments), "links")
-    linked = components(found)
-    root = F.coalesce("root", "print")
-    rooted = by_print.join(linked.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", root.alias("root"), "smallest"
-    )
-    rooted = materialize(rooted, "roots")
+    rooted = _rooted(own, F.min("doc_id"), distance, segments)
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     classes = rooted.join(smallest, "root").select("print", "component_id")
     return own.join(classes, "print").select("doc_id", "print", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each class, with all its columns.
+def _row(docs: DataFrame) -> Column:
+    """A hash of all of a row."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    rest = F.to_json(F.struct(*others, F.col("text").isNull().alias("_no_text")))
+    return F.md5(F.concat(rest.cast("binary"), text_bytes()))
+
 
-    Of repeated rows of that document one stays. Rows with a null ``doc_id`` stay if their
-    class has no other.
+def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 8) -> DataFrame:
+    """One row of each class, with all its columns: that with the smallest ``doc_id``.
+
+    A null ``doc_id`` comes last; among rows with the same one, the smallest hash of the row
+    decides. Classes are told by their texts, so different classes that share a ``doc_id``,
+    or have none, keep a row each.
     """
-    found = near_duplicates(docs, shingle, distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    mine = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return mine.dropDuplicates(["doc_id"])
+    ship(docs.sparkSession)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _row(docs).alias("row"))
+    prints = docs.select(fingerprint(text_bytes(), shingle).alias("print"), order.alias("own"))
+    rooted = _rooted(prints, F.min("own"), distance, segments)
+    kept = rooted.groupBy("root").agg(F.min("smallest").alias("own")).select("own.row")
+    marked = docs.withColumn("_row", _row(docs))
+    mine = marked.join(kept, marked["_row"] == kept["row"], "left_semi")
+    return mine.dropDuplicates(["_row"]).drop("_row")

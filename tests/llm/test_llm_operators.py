@@ -658,6 +658,28 @@ def test_simhash_odd_and_empty(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_row_of_each_class(spark):
+    words = [f"{w} one two three four five six {w} {w} {w}" for w in ("alpha", "beta", "gamma", "delta", "eps")]
+    rows = [
+        (None, words[0], "a"),
+        (None, words[1], "a"),
+        (None, words[1], "a"),
+        (None, words[2], "a"),
+        (7, words[2], "a"),
+        (3, words[3], "a"),
+        (3, words[4], "a"),
+        (3, words[4], "b"),
+        (3, words[4], "b"),
+        (4, words[4], "b"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = [(None, words[0]), (None, words[1]), (7, words[2]), (3, words[3]), (3, words[4])]
+    kept = simhash.keep_one(table).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, wanted))
+    again = simhash.keep_one(table.repartition(7)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, again))
+
+
 # ---- pipeline ---------------------------------------------------------------------------
 
 
