@@ -13,8 +13,9 @@ How many perturbations are visited is fitted on a sample of at most SAMPLE rows:
 PROBES that find TARGET of the sample's neighbours. Neighbours are nearer in the whole table
 than in the sample, so that is on the safe side. Every row is indexed, in every table.
 
-Buckets are dealt to tasks by a hash, queries to all tasks in blocks, and only a query's best
-``k`` leave a task. Vectors that are equal to the last bit share one candidate with their
+Candidates are dealt to tasks by a hash of the vector, queries to all tasks in blocks, and only
+a query's best ``k`` leave a task. A bucket is thus split evenly over the tasks of its table,
+so nearly equal vectors fill no task. Vectors that are equal to the last bit share one candidate with their
 ``k + 1`` smallest ids. No query can return more of them, so nothing is lost, and a vector that
 many rows have fills no bucket.
 
@@ -152,6 +153,11 @@ def fit(vectors: DataFrame, k: int, seed: int = 42) -> Index:
     return index
 
 
+def dealt(distinct: DataFrame, groups: int) -> DataFrame:
+    """The part of a table's tasks that each vector goes to, evenly however alike they are."""
+    return distinct.withColumn("part", F.pmod(F.xxhash64("vector"), F.lit(groups)).cast("int"))
+
+
 def _entered(index: Index, groups: int, blocks: int):
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,9 +167,7 @@ def _entered(index: Index, groups: int, blocks: int):
             points = index.candidates(vectors)
             for t in range(len(index.projections)):
                 code = codes(np.floor(index.hashed(t, points)).astype(np.int64))
-                task = t * groups + (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(
-                    np.int64
-                ) % groups
+                task = t * groups + batch["part"]
                 for block in range(blocks):
                     yield pd.DataFrame(
                         {
@@ -244,7 +248,7 @@ def nearest(
     groups = max(2, -(-n // CANDIDATES_OF_TASK))
     blocks = max(1, -(-n_queries // QUERIES_OF_BLOCK))
     kind = distinct.schema["vector"].dataType.simpleString()
-    rows = distinct.mapInPandas(
+    rows = dealt(distinct, groups).mapInPandas(
         _entered(index, groups, blocks),
         f"task int, block int, code long, vector {kind}, ids array<long>",
     )

@@ -320,6 +320,21 @@ def test_neighbours_odd(spark):
     assert nothing.count() == 0
 
 
+def test_nearly_equal_vectors_are_split_over_tasks(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.array([1.0, 0, 0, 0]) + 1e-9 * rng.normal(size=(4000, 4))
+    table = spark.createDataFrame([(v.tolist(), [i]) for i, v in enumerate(vectors)], "vector array<double>, ids array<long>")
+    index = neighbours.Index(
+        rng.normal(size=(neighbours.TABLES, neighbours.FUNCTIONS, 5)),
+        rng.random((neighbours.TABLES, neighbours.FUNCTIONS)), 1.1,
+    )
+    batch = neighbours.dealt(table, 8).toPandas()
+    sizes = Counter()
+    for out in neighbours._entered(index, 8, 1)(iter([batch])):
+        sizes.update(out["task"].tolist())
+    assert set(sizes) == set(range(8 * neighbours.TABLES)) and max(sizes.values()) < 2 * 4000 / 8
+
+
 # ---- 6: packing -------------------------------------------------------------------------
 
 
