@@ -11,7 +11,9 @@ their exact inner products, in double precision.
 
 How many perturbations are visited is fitted on a sample of at most SAMPLE rows: the fewest of
 PROBES that find TARGET of the sample's neighbours. Neighbours are nearer in the whole table
-than in the sample, so that is on the safe side. Every row is indexed, in every table.
+than in the sample, so that is on the safe side. Every row is indexed, in every table. If all of
+them are too few (uneven norms, far neighbours), every query meets every candidate instead, in
+blocks, and the result is exact.
 
 Candidates are dealt to tasks by a hash of the vector, queries to all tasks in blocks, and only
 a query's best ``k`` leave a task. A bucket is thus split evenly over the tasks of its table,
@@ -60,7 +62,11 @@ class Index:
     projections: np.ndarray  # table × function × component
     shifts: np.ndarray  # table × function
     norm: float
-    probes: int = 1
+    probes: int | None = 1  # None: every query meets every candidate
+
+    @property
+    def tables(self) -> int:
+        return 1 if self.probes is None else len(self.projections)
 
     def candidates(self, vectors: np.ndarray) -> np.ndarray:
         scaled = vectors / self.norm
@@ -104,8 +110,8 @@ def probed(hashed: np.ndarray, probes: int) -> np.ndarray:
     return codes(reached.reshape(-1, cells.shape[1])).reshape(len(hashed), -1)
 
 
-def _recall(index: Index, vectors: np.ndarray, k: int, seed: int) -> int:
-    """The fewest probes that find TARGET of the neighbours within the sample."""
+def _recall(index: Index, vectors: np.ndarray, k: int, seed: int) -> int | None:
+    """The fewest probes that find TARGET of the neighbours within the sample, if any do."""
     rng = np.random.default_rng(seed)
     chosen = rng.permutation(len(vectors))[:SAMPLE_QUERIES]
     exact = vectors[chosen] @ vectors.T
@@ -129,7 +135,7 @@ def _recall(index: Index, vectors: np.ndarray, k: int, seed: int) -> int:
     for probes in PROBES:
         if (place < probes).mean() >= TARGET:
             return probes
-    return PROBES[-1]
+    return None
 
 
 def fit(vectors: DataFrame, k: int, seed: int = 42) -> Index:
@@ -165,7 +171,7 @@ def _entered(index: Index, groups: int, blocks: int):
                 continue
             vectors = np.stack(batch["vector"].to_numpy()).astype(float)
             points = index.candidates(vectors)
-            for t in range(len(index.projections)):
+            for t in range(index.tables):
                 code = codes(np.floor(index.hashed(t, points)).astype(np.int64))
                 task = t * groups + batch["part"]
                 for block in range(blocks):
@@ -200,17 +206,20 @@ def _searched(index: Index, groups: int, k: int):
         out = []
         for at in range(0, len(queries), AT_ONCE):
             own = queries[at : at + AT_ONCE]
-            visits = probed(index.hashed(table, index.queries(own)), index.probes)
-            slot = np.minimum(np.searchsorted(buckets, visits), len(buckets) - 1)
-            who, which = np.nonzero(buckets[slot] == visits)
-            bucket = slot[who, which]
-            order = np.argsort(bucket, kind="stable")
-            who, bucket = who[order], bucket[order]
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(who) else []
-            near = np.full((len(own), len(vectors)), -np.inf)
-            for a, b in zip(edges, [*edges[1:], len(who)]):
-                s, e = starts[bucket[a]], ends[bucket[a]]
-                near[who[a:b], s:e] = own[who[a:b]] @ vectors[s:e].T
+            if index.probes is None:
+                near = own @ vectors.T
+            else:
+                near = np.full((len(own), len(vectors)), -np.inf)
+                visits = probed(index.hashed(table, index.queries(own)), index.probes)
+                slot = np.minimum(np.searchsorted(buckets, visits), len(buckets) - 1)
+                who, which = np.nonzero(buckets[slot] == visits)
+                bucket = slot[who, which]
+                order = np.argsort(bucket, kind="stable")
+                who, bucket = who[order], bucket[order]
+                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(who) else []
+                for a, b in zip(edges, [*edges[1:], len(who)]):
+                    s, e = starts[bucket[a]], ends[bucket[a]]
+                    near[who[a:b], s:e] = own[who[a:b]] @ vectors[s:e].T
             most = min(k + 8, len(vectors))
             best = np.argpartition(-near, most - 1, axis=1)[:, :most]
             for i, some in enumerate(best):
@@ -253,7 +262,7 @@ def nearest(
         f"task int, block int, code long, vector {kind}, ids array<long>",
     )
     asked = usable.where("asks").select(
-        F.explode(F.sequence(F.lit(0), F.lit(TABLES * groups - 1))).alias("task"),
+        F.explode(F.sequence(F.lit(0), F.lit(index.tables * groups - 1))).alias("task"),
         F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
         F.col("id").alias("query_id"),
         "vector",
