@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlight.llm import (
+    decontaminate,
     language_id,
     licenses,
     mixing,
@@ -74,6 +75,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.judge(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_licenses,
         op10_simhash,
+        op11_decontamination,
     )
 }
-ORACLES: dict[str, str] = {"op9_licenses": licenses.sql()}
+ORACLES: dict[str, str] = {
+    "op9_licenses": licenses.sql(),
+    "op11_decontamination": decontaminate.sql(),
+}
