@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterlight.llm import (
     decontaminate,
     language_id,
+    lexical,
     licenses,
     mixing,
     neighbours,
@@ -79,6 +80,10 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judge(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,9 +98,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_licenses,
         op10_simhash,
         op11_decontamination,
+        op12_search,
     )
 }
 ORACLES: dict[str, str] = {
     "op9_licenses": licenses.sql(),
     "op11_decontamination": decontaminate.sql(),
+    "op12_search": lexical.sql(),
 }
