@@ -20,6 +20,7 @@ from meterlight.llm import (
     suffix_dedup,
     token_counts,
     toxicity,
+    whitening,
 )
 from meterlight.llm.common import read
 from meterlight.llm.encoders import vocabulary
@@ -84,6 +85,10 @@ def op12_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.rank_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"), k=10)
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"), k=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash,
         op11_decontamination,
         op12_search,
+        op13_whitening,
     )
 }
 ORACLES: dict[str, str] = {
