@@ -143,7 +143,8 @@ def _deviations(away: np.ndarray) -> list[int | None]:
     """Sums of squares of the rows, exactly; None beyond a long."""
     if away.dtype != object and int(np.abs(away).max(initial=0)) ** 2 * away.shape[1] < LONG:
         return (away * away).sum(axis=1).tolist()
-    totals = [sum(int(v) * int(v) for v in row) for row in away]
+    near = (away.astype(float) ** 2).sum(axis=1)  # tells all but the closest to 2^63 by itself
+    totals = [sum(int(v) * int(v) for v in row) if x < 1.01 * LONG else LONG for row, x in zip(away, near)]
     return [t if t < LONG else None for t in totals]
 
 
