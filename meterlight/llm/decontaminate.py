@@ -76,7 +76,8 @@ class Windows:
         listed = item_windows(items, length, id, text)
         with_items = listed.groupBy("gram", "hash", "size").agg(F.sort_array(F.collect_set("item")).alias("items"))
         named = with_items.withColumn("class", F.sha2(F.to_json("items"), 256))
-        measures = {"n": F.count("*"), "bytes": F.sum(F.octet_length("gram") + 96)}
+        bytes = F.octet_length("gram") + F.octet_length(F.to_json("items")) + 128
+        measures = {"n": F.count("*"), "bytes": F.sum(bytes)}
         table, seen = materialize(named, "windows", measures)
         self.grams = table.select("gram", "class")
         self.small = (seen["bytes"] or 0) <= BROADCAST_BYTES
@@ -135,7 +136,9 @@ def _scanned(docs: DataFrame, windows: Windows, text: str, keep: list[Column]) -
 
 def _hits(scanned: DataFrame, windows: Windows, keep: list[str]) -> DataFrame:
     """Of documents with places: the verified words, in order, and the items."""
-    grams = F.broadcast(windows.grams) if windows.small else windows.grams
+    grams, classes = windows.grams, windows.classes
+    if windows.small:
+        grams, classes = F.broadcast(grams), F.broadcast(classes)
     placed = scanned.where(F.size("places") > 0).select("_key", *keep, "n_words", F.explode("places").alias("place"))
     placed = placed.select("_key", *keep, "n_words", "place.*").join(grams, "gram", "left")
     real = F.col("class").isNotNull()
@@ -145,7 +148,7 @@ def _hits(scanned: DataFrame, windows: Windows, keep: list[str]) -> DataFrame:
     )
     every = F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["size"] - 1))
     by_doc = by_doc.withColumn("hit", F.sort_array(F.array_distinct(F.flatten(every)))).drop("runs")
-    named = by_doc.withColumn("class", F.explode_outer("classes")).join(windows.classes, "class", "left")
+    named = by_doc.withColumn("class", F.explode_outer("classes")).join(classes, "class", "left")
     return named.groupBy("_key", *keep, "n_words").agg(
         F.first("hit").alias("hit"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
