@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from meterlight.operators import anomaly, eda, forecast, profiles
 from meterlight.plans import reports, training
-from meterlight.plans.workspace import QUICK_MODELS
 from meterlight.sources import model_store, sinks
 
 
 @query("forecast_train")
 def forecast_train(ws):
-    """One boosted model on the training part; what it learned, per feature."""
-    train, _ = eda.time_split(ws.features)
-    model = forecast.train(train, QUICK_MODELS["gbt_a"])
-    return forecast.feature_importance(model, ws.spark)
+    """The first boosted model on the training part; what it learned, per feature."""
+    return forecast.feature_importance(ws.trained.models["gbt_a"], ws.spark)
 
 
 @query("forecast_predict")
@@ -65,12 +62,7 @@ def actual_vs_predicted(ws):
 
 @query("tune_models")
 def tune_models(ws):
-    grids = {
-        "gbt_a": {"trees": [2, 4], "depth": [2, 3], "learning_rate": [0.1, 0.3]},
-        "gbt_b": {"trees": [2, 4], "depth": [2, 3], "learning_rate": [0.1, 0.3]},
-        "random_forest": {"trees": [3, 5], "depth": [3, 4], "min_leaf": [2, 5]},
-    }
-    return training.tune(ws.features, grids)
+    return training.tune(ws.features)
 
 
 @query("model_store")

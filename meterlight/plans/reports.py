@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +63,7 @@ def forecast_rows(
 
 def forecasting_report(
     df: DataFrame,
-    model: PipelineModel,
+    model: forecast.TreeModel,
     household: str = eda.ALL,
     test_days: int = TEST_DAYS,
     leaderboard: DataFrame | None = None,
@@ -121,7 +120,7 @@ def anomalies_report(
 
 
 def insights_report(
-    df: DataFrame, model: PipelineModel, model_name: str, clusterer: Clusterer
+    df: DataFrame, model: forecast.TreeModel, model_name: str, clusterer: Clusterer
 ) -> dict[str, DataFrame]:
     summary = profiles.cluster_summary(clusterer.labelled)
     savings = profiles.cluster_savings(summary)

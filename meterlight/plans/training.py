@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from meterlight.operators import anomaly, audit, eda, forecast, metrics, profiles
@@ -18,7 +17,7 @@ from meterlight.sources.model_store import Clusterer
 class Trained:
     """Everything a training run leaves behind."""
 
-    models: dict[str, PipelineModel]
+    models: dict[str, forecast.TreeModel]
     leaderboard: DataFrame
     best: str
     clusterer: Clusterer

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlight.operators import eda, profiles, retrieval
-from meterlight.operators.forecast import settings_for
 from meterlight.plans.panel import Panel, build_panel
 from meterlight.plans.training import Trained, save_all, train_all
 from meterlight.schema import HOUSEHOLD, TARGET, lag_column
@@ -20,12 +19,6 @@ from meterlight.session import materialize, new_path
 from meterlight.sources import sinks, testbed
 from meterlight.sources.readers import document_table, scan_table
 
-QUICK_MODELS = {
-    "gbt_a": settings_for("gbt_a", trees=5, depth=4, learning_rate=0.3),
-    "gbt_b": settings_for("gbt_b", trees=5, depth=3, learning_rate=0.3),
-    "random_forest": settings_for("random_forest", trees=5, depth=5),
-}
-
 _open: dict[tuple[str, str], "Workspace"] = {}
 
 
@@ -104,8 +97,8 @@ class Workspace:
 
     @cached_property
     def trained(self) -> Trained:
-        """All models, with small ensembles in place of the published sizes."""
-        return train_all(self.features, QUICK_MODELS)
+        """All models, in their published sizes."""
+        return train_all(self.features)
 
     @cached_property
     def saved(self) -> str:

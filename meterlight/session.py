@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -26,6 +28,20 @@ def local_session(cores: str = "8", name: str = "meterlight") -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, so that Python tasks can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_meterlight_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="meterlight-")) / "meterlight.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._meterlight_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by the cluster.
 
@@ -49,6 +65,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/meterlight/{label}-{uuid.uuid4().hex}"
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def materialize(df: DataFrame, label: str, metrics: dict[str, Column] | None = None):
     """Write ``df`` to the shared folder and read it back.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlight.operators.trees import TreeModel
+
 
 @dataclass(frozen=True)
 class Clusterer:
@@ -17,13 +18,12 @@ class Clusterer:
     labelled: DataFrame
 
 
-def save_forecaster(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
-    return path
+def save_forecaster(model: TreeModel, path: str) -> str:
+    return model.save(SparkSession.active(), path)
 
 
-def load_forecaster(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_forecaster(path: str) -> TreeModel:
+    return TreeModel.load(SparkSession.active(), path)
 
 
 def save_clusterer(clusterer: Clusterer, path: str) -> str:
