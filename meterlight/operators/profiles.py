@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from meterlight.functions.numeric import (
     percent_of,
     safe_ratio,
 )
+from meterlight.operators.clusters import ClusterModel, Silhouette, best_of, fit_all, silhouettes
 from meterlight.operators.joins import with_scalar
 from meterlight.schema import (
     CLUSTERS,
@@ -167,38 +165,44 @@ def profile_vectors(profiles: DataFrame) -> DataFrame:
 # Clustering
 
 
-def fit_kmeans(vectors: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS) -> KMeansModel:
-    """Best of several seeded starts by total within-cluster distance."""
-    seeds = range(42, 42 + restarts)
-    with ThreadPoolExecutor(4) as pool:  # the starts are independent jobs
-        models = list(
-            pool.map(lambda seed: KMeans(k=k, seed=seed, maxIter=50).fit(vectors), seeds)
-        )
-    return min(models, key=lambda model: model.summary.trainingCost)
+def fit_kmeans(
+    vectors: DataFrame, k_range=(CLUSTERS,), restarts: int = RESTARTS
+) -> dict[int, ClusterModel]:
+    """For each number of clusters the best of several seeded starts, all from the same scans."""
+    fits = [(k, seed) for k in k_range for seed in range(42, 42 + restarts)]
+    return best_of(fit_all(vectors, fits), fits)
 
 
-def silhouette(clustered: DataFrame) -> float:
-    """Silhouette with squared Euclidean distance, linear in the number of households."""
-    return ClusteringEvaluator(predictionCol="cluster").evaluate(clustered)
+def silhouette(clustered: DataFrame) -> Silhouette:
+    """Silhouette of plain distances of ``features`` and ``cluster``."""
+    table = clustered.select(
+        vector_to_array("features").alias("x"), F.array(F.col("cluster").cast("int")).alias("labels")
+    )
+    return silhouettes(table)[0]
 
 
-def _assign(model: KMeansModel, vectors: DataFrame) -> DataFrame:
+def _assign(model: ClusterModel, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).withColumnRenamed("prediction", "cluster")
 
 
-def elbow(vectors: DataFrame, k_range=ELBOW_RANGE, restarts: int = RESTARTS) -> DataFrame:
-    """Inertia and silhouette per number of clusters."""
-    rows = []
-    for k in k_range:
-        model = fit_kmeans(vectors, k, restarts)
-        assigned = _assign(model, vectors)
-        sizes = model.summary.clusterSizes
-        score = silhouette(assigned) if sum(n > 0 for n in sizes) > 1 else 0.0
-        rows.append((k, float(model.summary.trainingCost), float(score)))
-    return vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+def elbow(
+    vectors: DataFrame,
+    k_range=ELBOW_RANGE,
+    restarts: int = RESTARTS,
+    models: dict[int, ClusterModel] | None = None,
+) -> DataFrame:
+    """Inertia and silhouette (with how far it may be off) per number of clusters."""
+    models = models or fit_kmeans(vectors, k_range, restarts)
+    x = vector_to_array("features")
+    labels = F.array(*[models[k].nearest(x) for k in k_range])
+    scores = silhouettes(vectors.select(x.alias("x"), labels.alias("labels")))
+    rows = [(k, float(models[k].inertia), s.value, s.bound) for k, s in zip(k_range, scores)]
+    return vectors.sparkSession.createDataFrame(
+        rows, "k int, inertia double, silhouette double, silhouette_bound double"
+    )
 
 
-def assign_clusters(profiles: DataFrame, vectors: DataFrame, model: KMeansModel) -> DataFrame:
+def assign_clusters(profiles: DataFrame, vectors: DataFrame, model: ClusterModel) -> DataFrame:
     assigned = _assign(model, vectors).select(HOUSEHOLD, "cluster")
     return profiles.join(assigned, HOUSEHOLD)
 

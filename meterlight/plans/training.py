@@ -27,15 +27,18 @@ class Trained:
 
 
 def train_clusterer(
-    features: DataFrame, k: int = CLUSTERS, restarts: int = profiles.RESTARTS
+    features: DataFrame,
+    k: int = CLUSTERS,
+    k_range=(),
+    restarts: int = profiles.RESTARTS,
 ) -> tuple[Clusterer, DataFrame]:
-    """Labelled profiles with their model, and the standardized vectors."""
+    """Labelled profiles with their model, and the elbow table of ``k_range`` from the same scans."""
     table = materialize(profiles.household_profile(features), "profiles")
     vectors = materialize(profiles.profile_vectors(table), "profile-vectors")
-    model = profiles.fit_kmeans(vectors, k, restarts)
-    clustered = profiles.assign_clusters(table, vectors, model)
+    models = profiles.fit_kmeans(vectors, sorted({k, *k_range}), restarts)
+    clustered = profiles.assign_clusters(table, vectors, models[k])
     labelled = materialize(profiles.label_clusters(clustered), "clusters")
-    return Clusterer(model, labelled), vectors
+    return Clusterer(models[k], labelled), profiles.elbow(vectors, k_range, restarts, models)
 
 
 def train_all(
@@ -49,8 +52,7 @@ def train_all(
     train, test = eda.time_split(features, test_days)
     board, models = forecast.compare_models(train, test, settings)
     board = materialize(board, "leaderboard")
-    clusterer, vectors = train_clusterer(features, restarts=restarts)
-    elbow = profiles.elbow(vectors, k_range, restarts)
+    clusterer, elbow = train_clusterer(features, k_range=k_range, restarts=restarts)
     forest, detected = anomaly.fit_detect(features, contamination, anomaly.REPORT_COLUMNS)
     best = metrics.best_model(board).first()["best_model"]
     return Trained(models, board, best, clusterer, elbow, forest, detected)

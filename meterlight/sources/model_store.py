@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlight.operators.clusters import ClusterModel
 from meterlight.operators.trees import TreeModel
 
 
@@ -14,7 +14,7 @@ from meterlight.operators.trees import TreeModel
 class Clusterer:
     """Fitted clusters with the labelled profiles they were fitted on."""
 
-    model: KMeansModel
+    model: ClusterModel
     labelled: DataFrame
 
 
@@ -27,12 +27,12 @@ def load_forecaster(path: str) -> TreeModel:
 
 
 def save_clusterer(clusterer: Clusterer, path: str) -> str:
-    clusterer.model.write().overwrite().save(f"{path}/kmeans")
+    clusterer.model.save(clusterer.labelled.sparkSession, f"{path}/kmeans")
     clusterer.labelled.write.mode("overwrite").parquet(f"{path}/profiles")
     return path
 
 
 def load_clusterer(spark: SparkSession, path: str) -> Clusterer:
     return Clusterer(
-        KMeansModel.load(f"{path}/kmeans"), spark.read.parquet(f"{path}/profiles")
+        ClusterModel.load(spark, f"{path}/kmeans"), spark.read.parquet(f"{path}/profiles")
     )
