@@ -34,7 +34,8 @@ SLICE_SQL = (
     rounds="energy_sum",
 )
 def eda_filter(ws):
-    part = eda.eda_filter(ws.features, **SLICE)
+    """Files outside the days are not read."""
+    part = eda.eda_filter(ws.laid_out.scan(SLICE["start"], SLICE["end"]), **SLICE)
     return part.select("household_id", "day", "energy_sum", *ATTRIBUTES)
 
 
@@ -44,9 +45,8 @@ def eda_filter(ws):
     rounds="energy_sum",
 )
 def household_slice(ws):
-    return eda.household_slice(ws.features, "MAC000007").select(
-        "household_id", "day", "energy_sum"
-    )
+    part = ws.laid_out.scan(households=["MAC000007"])
+    return eda.household_slice(part, "MAC000007").select("household_id", "day", "energy_sum")
 
 
 @query(
@@ -56,7 +56,8 @@ WHERE household_id IN ('MAC000001', 'MAC000003', 'MAC000009')""",
     rounds="energy_sum",
 )
 def household_compare(ws):
-    return eda.household_compare(ws.features, "MAC000001,MAC000003,MAC000009")
+    chosen = ["MAC000001", "MAC000003", "MAC000009"]
+    return eda.household_compare(ws.laid_out.scan(households=chosen), ",".join(chosen))
 
 
 @query(
@@ -65,7 +66,7 @@ def household_compare(ws):
     rounds="energy_sum",
 )
 def recent_rows(ws):
-    return eda.recent_rows(ws.features).select("household_id", "day", "energy_sum")
+    return eda.recent_rows(ws.laid_out.since(30)).select("household_id", "day", "energy_sum")
 
 
 @query(

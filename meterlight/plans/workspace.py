@@ -16,7 +16,7 @@ from meterlight.plans.panel import Panel, build_panel
 from meterlight.plans.training import Trained, save_all, train_all
 from meterlight.schema import HOUSEHOLD, TARGET, lag_column
 from meterlight.session import materialize, new_path
-from meterlight.sources import sinks, testbed
+from meterlight.sources import layout, sinks, testbed
 from meterlight.sources.readers import document_table, scan_table
 
 _open: dict[tuple[str, str], "Workspace"] = {}
@@ -55,6 +55,11 @@ class Workspace:
     def features(self) -> DataFrame:
         return self.panel.features
 
+    @cached_property
+    def laid_out(self) -> layout.PanelLayout:
+        """The feature table along a curve over households and days."""
+        return layout.write_layout(self.features, new_path(self.spark, "layout"))
+
     @cached_property
     def raw_files(self) -> dict[str, str]:
         """The raw tables as CSV files, keyed by table name."""
