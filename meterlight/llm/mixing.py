@@ -4,7 +4,7 @@ Each source has a weight for every moment of training, piecewise linear over [0,
 integral is the source's weight in the whole mix; a source's target is its share by weight,
 capped at ``most`` times its own words, the excess reshared by weight until none is above.
 
-A source's documents stand in a fixed random order (a hash of ``doc_id``) and are read as one
+A source's documents stand in a fixed random order (a hash of ``doc_id`` and text) and are read as one
 stream of words, from the start again when it ends. Its cumulative demand at time t is the
 target times the integrated weight up to t; a document's place in the stream, put through the
 inverse of that function, is the moment of training at which it is due. The document that a
@@ -13,7 +13,8 @@ source's target ends in is taken up to that word. Documents are then range-sorte
 Running sums are taken in two steps, over buckets of a source and inside a bucket, so no source
 meets in one task. The table of sources, a row for each, is the recipe and goes to the driver.
 
-Null and empty texts have no words and are never taken. Null sources form one source, last in
+Null and empty texts have no words and are never taken. A source without words has target 0.0, and nothing of it
+is taken. Null sources form one source, last in
 order. Repeated rows are documents of their own. A null ``doc_id`` is ordered before others.
 An empty table gives an empty result; further columns are ignored (``mixed_documents`` keeps
 them).
@@ -114,17 +115,21 @@ def _recipe(spark, sources: list[Source]) -> DataFrame:
     )
 
 
+def _order() -> Column:
+    """A document's place in its source's fixed random order."""
+    return F.xxhash64(F.lit("mixing"), "doc_id", "text")
+
+
 def mix(docs: DataFrame, schedules=cycle, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row for each document: sizes, its source's target, and when and how it is taken.
 
-    Columns ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` and
-    ``passes``, an array of (``pass``, ``moment``, ``words``). ``schedules`` gives a dict of
+    Columns ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``,
+    ``passes``, an array of (``pass``, ``moment``, ``words``), and the ``order`` in its source. ``schedules`` gives a dict of
     knots for a list of source names.
     """
     spark = docs.sparkSession
-    order = F.xxhash64(F.lit("mixing"), "doc_id")
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    sized = materialize(sized.withColumn("order", order), "sizes")
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), _order().alias("order"))
+    sized = materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     rows = totals.limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
@@ -157,7 +162,7 @@ def mix(docs: DataFrame, schedules=cycle, share: float = 1.5, most: float = 2.0)
     for k in range(passes):
         at = F.col("start") + k * F.col("source_size")
         taken = F.least("size", F.round("target").cast("long") - at)
-        g = F.least(at / F.col("target"), F.lit(1.0))
+        g = F.least(F.try_divide(at.cast("double"), F.col("target")), F.lit(1.0))
         all_passes.append((at, taken, g))
     # One array of passes; each moment needs its own ``g``.
     out = placed
@@ -177,7 +182,7 @@ def mix(docs: DataFrame, schedules=cycle, share: float = 1.5, most: float = 2.0)
     out = out.withColumn("passes", taken)
     total = F.aggregate("passes", F.lit(0).cast("long"), lambda x, p: x + p["words"])
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", total.alias("taken"), "passes"
+        "doc_id", "source", "size", "source_size", "target", total.alias("taken"), "passes", "order"
     )
 
 
@@ -193,14 +198,14 @@ def mixed_documents(docs: DataFrame, schedules=cycle, share: float = 1.5, most:
     Keeps the columns of ``docs``; a cut text ends after the last word taken, and a column
     ``n_chars`` is set anew.
     """
-    key = F.struct("doc_id", "source", "size").alias("_mix_key")
+    key = F.struct("doc_id", "source", "size", "order").alias("_mix_key")
     plan = mix(docs, schedules, share, most).where("taken > 0").select(key, "passes")
     plan = plan.groupBy("_mix_key").agg(F.sort_array(F.collect_list("passes")).alias("_mix_plans"))
     count = words(F.col("text")).alias("size")
-    own = docs.withColumn("_mix_own", F.struct("doc_id", "source", count))
-    # Structs are equal where both hold a null. Rows with the same key share its plans; the
-    # window rides on the join's shuffle, so texts move once to their plan and once to their place.
-    twins = Window.partitionBy("_mix_key").orderBy(F.xxhash64("text"))
+    own = docs.withColumn("_mix_own", F.struct("doc_id", "source", count, _order().alias("order")))
+    # Structs are equal where both hold a null. Rows with the same key are equal but for the columns that are
+    # carried along, and share its plans; the window rides on the join's shuffle, so texts move once to their plan and once to their place.
+    twins = Window.partitionBy("_mix_key").orderBy(F.lit(0))
     due = own.join(plan, F.col("_mix_own") == F.col("_mix_key"))
     due = due.withColumn("_mix_twin", F.row_number().over(twins))
     due = due.where(F.col("_mix_twin") <= F.size("_mix_plans"))
