@@ -10,11 +10,11 @@ segments differs in at most k * distance / segments bits. While that bound is be
 chain's segments are equal; this leading chain is the join key. In a bucket of equal keys the
 longer chains' budgets prune the pairs, and the whole Hamming distance is checked on the rest.
 
-Fingerprints are joined once each, however many documents share them. A bucket is worked
-through in one task and gives a spanning set of links, never all its pairs. In a bucket of
-more than ``pairwise`` fingerprints, those at most ``distance`` apart are found without pairs:
-each fingerprint is entered with every set of up to ceil(distance / 2) flipped bits, and two that are near
-meet in an entry; entries' neighbours are checked like pairs. Distances above 2 use the pairs.
+Fingerprints are joined once each, however many documents share them. A bucket of at most ``pairwise`` fingerprints is
+worked through in one task and gives a spanning set of links, never all its pairs. The fingerprints of a larger one pass
+through its task and are dealt anew: each is entered with every single bit outside the key flipped, and those at most
+``distance`` apart meet in an entry, which has at most 41 members. Both ways link the same fingerprints. Distances above
+2 have the first way only, so that there a bucket is one task however large it is.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and
 ties are members like others; a null ``doc_id`` is a member but never a class's smallest id
@@ -137,47 +137,57 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def _bucket_links(prints: np.ndarray, free: list[int], chains, distance: int, pairwise: int):
+def _bucket_links(prints: np.ndarray, chains):
     """A spanning set of links among the sorted distinct fingerprints of a bucket."""
     n = len(prints)
-    if n <= pairwise or distance > 2:
-        left, right = [], []
-        for step in range(1, n):
-            at = _near(prints[:-step], prints[step:], chains)
-            left.append(at)
-            right.append(at + step)
-        a, b = np.concatenate(left), np.concatenate(right)
-    else:
-        flips = np.array([0] + [1 << i for i in free], np.uint64)
-        entries = (prints[:, None] ^ flips[None, :]).ravel()
-        owner = np.repeat(np.arange(n), len(flips))
-        order = np.argsort(entries, kind="stable")
-        same = entries[order][1:] == entries[order][:-1]
-        a, b = owner[order][:-1][same], owner[order][1:][same]
-        # Two that share an entry are at most 2 bits apart: one flipped bit each.
-    root = _roots(n, a, b)
+    left, right = [], []
+    for step in range(1, n):
+        at = _near(prints[:-step], prints[step:], chains)
+        left.append(at)
+        right.append(at + step)
+    root = _roots(n, np.concatenate(left), np.concatenate(right))
     at = np.flatnonzero(root != np.arange(n))
     return prints[root[at]], prints[at]
 
 
+LINKED = "first int, a long, b long"
+
+
 def _links(segments: int, distance: int, pairwise: int):
-    keys = [np.uint64(_mask(segments, i, leading(segments, distance))) for i in range(segments)]
+    """Links of each bucket; of one with too many fingerprints, those themselves as ``a``, with a null ``b``."""
     chains = [_budgets(segments, distance, i) for i in range(segments)]
-    free = [[j for j in range(BITS) if not int(keys[i]) >> j & 1] for i in range(segments)]
+    most = pairwise if distance <= 2 else np.inf
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches are sorted by segment and key; a bucket may run on into the next batch."""
-        held: pd.DataFrame | None = None
+        held, passing = None, None  # rows of the last bucket so far, or the name of one that passes through
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(rows):
                 continue
-            last = (rows["first"] == rows["first"].iloc[-1]) & (rows["key"] == rows["key"].iloc[-1])
-            held = rows[last]
+            held = None
+            names = rows["first"].to_numpy(np.int64), rows["key"].to_numpy(np.int64)
+            if passing is not None:
+                own = (names[0] == passing[0]) & (names[1] == passing[1])
+                yield unlinked(rows[own])
+                rows = rows[~own]
+                if not len(rows):
+                    continue
+                passing = None
+            name = rows["first"].iloc[-1], rows["key"].iloc[-1]
+            last = (rows["first"] == name[0]) & (rows["key"] == name[1])
+            if last.sum() > most:
+                passing = name
+                yield unlinked(rows[last])
+            else:
+                held = rows[last]
             yield found(rows[~last])
         if held is not None:
             yield found(held)
 
+    def unlinked(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"first": rows["first"], "a": rows["print"], "b": pd.array([None] * len(rows), "Int64")})
+
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows["first"].to_numpy(np.int64)
         key = rows["key"].to_numpy(np.int64)
@@ -193,22 +203,49 @@ def _links(segments: int, distance: int, pairwise: int):
             near = at[_near(prints[at], prints[at + 1], chains[i])]
             left.append(prints[near])
             right.append(prints[near + 1])
-        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            own = np.unique(prints[at : at + size])
-            i = int(first[at])
-            a, b = _bucket_links(own, free[i], chains[i], distance, pairwise)
+        large = (sizes > 2) & (sizes <= most)
+        for at, size in zip(starts[large].tolist(), sizes[large].tolist()):
+            a, b = _bucket_links(np.unique(prints[at : at + size]), chains[int(first[at])])
             left.append(a)
             right.append(b)
-        return pd.DataFrame(
+        linked = pd.DataFrame(
             {
+                "first": 0,
                 "a": np.concatenate(left).view(np.int64),
-                "b": np.concatenate(right).view(np.int64),
+                "b": pd.array(np.concatenate(right).view(np.int64), "Int64"),
             }
         )
+        over = np.repeat(sizes > most, sizes)
+        return pd.concat([linked, unlinked(rows[over])]) if over.any() else linked
 
     return link
 
 
+def _links_by_flips(prints: DataFrame, distance: int, segments: int) -> DataFrame:
+    """Links of buckets of any size, for distances 1 and 2, without pairs.
+
+    A fingerprint is entered as it is and with each single bit outside the key flipped. Those 2 bits apart meet in an entry
+    with a flip each, and all that share an entry are at most 2 apart; an entry has as many members as a
+    fingerprint has free bits, and one. Those 1 bit apart meet where one of them is as it is.
+    """
+    flips = []
+    for i in range(segments):
+        key = _mask(segments, i, leading(segments, distance))
+        free = [1 << j for j in range(BITS) if not key >> j & 1]
+        flips.append(F.array(*[F.lit(f - (1 << 64) if f >> 63 else f).cast("long") for f in [0, *free]]))
+    own = F.element_at(F.array(*flips), F.col("first") + 1)
+    entered = prints.select("first", "a", F.explode(own).alias("flip"))
+    entered = entered.select("first", "a", F.col("a").bitwiseXOR(F.col("flip")).alias("entry"))
+    met = entered.groupBy("first", "entry").agg(F.collect_set("a").alias("members"))
+    met = met.where(F.size("members") > 1)
+    if distance == 1:
+        met = met.where(F.array_contains("members", F.col("entry")))
+        hub = F.col("entry")
+    else:
+        hub = F.array_min("members")
+    return met.select(hub.alias("a"), F.explode("members").alias("b")).where("a <> b")
+
+
 def links(prints: DataFrame, distance: int = 2, segments: int = 8, pairwise: int = 4096):
     """Links ``a``, ``b`` that connect the distinct fingerprints of column ``print``.
 
@@ -234,7 +271,9 @@ def links(prints: DataFrame, distance: int = 2, segments: int = 8, pairwise: int
         ).alias("k"),
     ).select("k.first", "k.key", "print")
     sorted_rows = keyed.repartition("first", "key").sortWithinPartitions("first", "key", "print")
-    return sorted_rows.mapInPandas(_links(segments, distance, pairwise), "a long, b long")
+    found = materialize(sorted_rows.mapInPandas(_links(segments, distance, pairwise), LINKED), "bucket-links")
+    small = found.where("b IS NOT NULL").select("a", "b")
+    return small.union(_links_by_flips(found.where("b IS NULL"), distance, segments)) if distance <= 2 else small
 
 
 def _rooted(prints: DataFrame, smallest: Column, distance: int, segments: int) -> DataFrame:
