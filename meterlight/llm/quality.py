@@ -9,7 +9,9 @@ Words are runs of other characters than space and 9 to 13; lines are split at ``
 counting rules: too few words, or too many words inside repeated five-word windows.
 
 Null and empty texts have no words and fail the counting rules. A text without letters belongs
-to the script ``none``, whose bands reject nothing. Repeated rows, ties and further columns
+to the script ``none``, whose only band is on byte tokens (signs the vocabulary lacks). The bands decide on every text,
+however short: they give way by a few standard errors, so of ten words only what is far outside is
+rejected (consonant jumbles are if the language is known). Repeated rows, ties and further columns
 change nothing; an empty table gives an empty result.
 """
 
@@ -32,7 +34,8 @@ WINDOW = 5
 #: Bands: least and greatest characters per token, greatest share of byte tokens, least
 #: relative entropy of the tokens. A language's band holds where the language is known, else
 #: the script's. The vocabulary was made for Latin text, so the bands of other scripts are wide.
-#: A mean over few tokens varies more, so the first two give way by SLACK / sqrt(tokens).
+#: A mean over few tokens varies more, so every band gives way by its slack / sqrt(tokens): both
+#: limits of characters by the first, the share of byte tokens by the second, entropy by the third.
 BANDS = {
     "en": (2.11, 8.0, 0.10, 0.42),
     "de": (2.12, 8.0, 0.10, 0.42),
@@ -44,10 +47,9 @@ BANDS = {
     "arabic": (0.5, 8.0, 0.60, 0.40),
     "han": (0.25, 4.0, 0.85, 0.35),
     "other": (0.1, 8.0, 1.00, 0.25),
-    "none": (0.0, float("inf"), 1.00, 0.0),
+    "none": (0.0, float("inf"), 0.50, 0.0),
 }
-SLACK = 2.5
-MIN_TOKENS = 40
+SLACKS = (2.5, 0.5, 0.5)
 
 # The scripts told apart, with the ranges of the leading UTF-8 byte of letters.
 SCRIPTS = ["latin", "greek", "cyrillic", "arabic", "han", "other", "none"]
@@ -172,10 +174,9 @@ def verdicts(found: pd.DataFrame, languages, bands: dict = BANDS) -> pd.DataFram
         for lang, script in zip(languages, scripts)
     ]
     limits = np.array([bands[name] for name in names], float).reshape(-1, 4)
-    slack = SLACK / np.sqrt(np.maximum(found["n_tokens"], 1))
-    inside = found["chars_per_token"].between(limits[:, 0] - slack, limits[:, 1] + slack)
-    inside &= (found["byte_share"] <= limits[:, 2]) & (found["entropy"] >= limits[:, 3])
-    inside |= found["n_tokens"] < MIN_TOKENS
+    chars, byte, entropy = (s / np.sqrt(np.maximum(found["n_tokens"], 1)) for s in SLACKS)
+    inside = found["chars_per_token"].between(limits[:, 0] - chars, limits[:, 1] + chars)
+    inside &= (found["byte_share"] <= limits[:, 2] + byte) & (found["entropy"] >= limits[:, 3] - entropy)
     return found.assign(base_failed=base, kept=~base & inside)
 
 
