@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StructField, StructType
 
 from meterlight.session import materialize, shared_folder  # noqa: F401  (used by the operators)
 
@@ -42,6 +43,42 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+#: Timestamps to the microsecond, as Spark holds them.
+JSON_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def _is_map(docs: DataFrame, column: str) -> bool:
+    return isinstance(docs.schema[column].dataType, MapType)
+
+
+def as_json(docs: DataFrame, columns: list[str], *more: Column) -> Column:
+    """The columns as one JSON text that ``out_of_json`` restores. Maps go as arrays of entries, as their keys need
+    not be strings; only maps inside of other values must have keys that are."""
+    parts = [
+        (F.map_entries(F.col(f"`{c}`")) if _is_map(docs, c) else F.col(f"`{c}`")).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]
+    return F.to_json(F.struct(*parts, *more, F.lit(0).alias("_")), JSON_OPTIONS)
+
+
+def out_of_json(docs: DataFrame, columns: list[str], text: Column) -> dict[str, Column]:
+    """The columns that ``as_json`` made a text of."""
+    kinds = []
+    for i, c in enumerate(columns):
+        kind = docs.schema[c].dataType
+        if _is_map(docs, c):
+            kind = ArrayType(StructType([StructField("key", kind.keyType), StructField("value", kind.valueType)]))
+        kinds.append(StructField(f"c{i}", kind))
+    row = F.from_json(text, StructType([*kinds, StructField("_", IntegerType())]), JSON_OPTIONS)
+    out = {}
+    for i, c in enumerate(columns):
+        out[c] = F.map_from_entries(row[f"c{i}"]) if _is_map(docs, c) else row[f"c{i}"]
+    return out
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 

@@ -216,4 +216,4 @@ def mixed_documents(docs: DataFrame, schedules=cycle, share: float = 1.5, most:
     )
     if "n_chars" in docs.columns:
         due = due.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return due.orderBy("_mix_due.moment", "doc_id").select(*docs.columns)
+    return due.orderBy("_mix_due.moment", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])

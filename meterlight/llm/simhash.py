@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import materialize, ship, slices, text_bytes
+from meterlight.llm.common import as_json, materialize, ship, slices, text_bytes
 from meterlight.llm.components import components
 
 SEED = 42
@@ -304,8 +304,8 @@ def near_duplicates(
 
 def _row(docs: DataFrame) -> Column:
     """A hash of all of a row."""
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    rest = F.to_json(F.struct(*others, F.col("text").isNull().alias("_no_text")))
+    others = [c for c in docs.columns if c != "text"]
+    rest = as_json(docs, others, F.col("text").isNull().alias("_no_text"))
     return F.md5(F.concat(rest.cast("binary"), text_bytes()))
 
 

@@ -5,8 +5,10 @@ with a smaller ``doc_id``, or earlier in the same one. Strings never cross docum
 
 1. Every window of LENGTH bytes picks its smallest hashed ``GRAM``-gram, so equal windows pick
    the same one at the same place. The windows that pick one place form a *passage*: about 35
-   windows over 134 bytes. Only a hash of the gram and one of the passage are shuffled, dealt
-   by the gram, in one packed row for each block of documents and bucket.
+   windows over 134 bytes. Of equal passages of a block only the earliest goes on, the others are repeats: a line that
+   a document has a thousand times, or a megabyte of one byte, is one passage of its block. Only a hash
+   of the gram and one of the passage are shuffled, dealt by the gram, in one packed row for each block of
+   documents and bucket; the number of buckets follows the bytes of text.
 2. Grams with one passage need no more: an occurrence after the first repeats the whole
    passage, and the first repeats nothing. Where different passages share a gram, the text of
    each (once, from its first occurrence) goes to the gram's task.
@@ -14,8 +16,8 @@ with a smaller ``doc_id``, or earlier in the same one. Strings never cross docum
    neighbours with a common prefix of LENGTH bytes form a run; all but its earliest window go.
 4. Windows to remove return to the blocks, where they are merged to spans of bytes.
 
-Blocks are stored once, compressed, in the shared folder; a hot passage has one entry for each
-block that holds it, and its text is sent once. No window is left out: the result is exact up to
+Blocks are stored once, compressed, in the shared folder; a hot passage has one entry (some 25 bytes) for each
+block of a megabyte that holds it, all of which meet in one task, and its text is sent once. No window is left out: the result is exact up to
 collisions of two 64-bit hashes at once.
 
 Documents with the same ``doc_id`` are ordered by where they are stored; repeated rows are
@@ -37,7 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.common import materialize, mixed, partitions, ranges, ship, text_bytes
+from meterlight.llm.common import (
+    as_json,
+    materialize,
+    mixed,
+    out_of_json,
+    partitions,
+    ranges,
+    ship,
+    text_bytes,
+)
 from meterlight.llm.suffix_sort import repeated_windows
 
 LENGTH = 100
@@ -46,6 +57,7 @@ WINDOW = LENGTH - GRAM + 1
 BLOCK = 1 << 20
 STEP = 1 << 18  # windows hashed at a time
 TOGETHER = 1 << 19  # bytes of passages sorted together
+BYTES_OF_BUCKET = 8 << 20  # of text whose passages share a bucket
 PLACE = np.uint64((1 << 21) - 1)
 LAST = np.iinfo(np.int64).max
 
@@ -160,8 +172,36 @@ def _packed(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
+OFFERED = "bucket int, block long, n_docs int, n int, hashes binary, places binary, n_again int, again binary"
+OFFERED_COLUMNS = [part.split()[0] for part in OFFERED.split(", ")]
+
+
+def earliest(block: Block, gram, own, doc, first) -> np.ndarray:
+    """Which passages of a block no equal one of it comes before."""
+    rank = np.empty(len(block.ids), np.int64)
+    rank[np.lexsort((np.arange(len(block.ids)), block.ids, block.null))] = np.arange(len(block.ids))
+    order = np.lexsort((first, rank[doc], own, gram))
+    out = np.ones(len(gram), bool)
+    out[order[1:]] = (gram[order][1:] != gram[order][:-1]) | (own[order][1:] != own[order][:-1])
+    return out
+
+
+def joined(doc, start, count):
+    """Runs of windows, those that follow each other in a document as one."""
+    if not len(doc):
+        return doc, start, count
+    order = np.lexsort((start, doc))
+    doc, start, count = doc[order], start[order], count[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])])
+    at = np.flatnonzero(new)
+    return doc[at], start[at], np.add.reduceat(count, at)
+
+
 def _offer(buckets: int):
-    """Packed rows of passages for each bucket of grams."""
+    """Packed rows of a block's distinct passages for each bucket of grams.
+
+    Passages that an equal one of the same block comes before are repeats already; they ride along as a note.
+    """
 
     def offer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,6 +209,9 @@ def _offer(buckets: int):
                 block = Block(row)
                 gram, own, first, count = passages(block)
                 doc = np.searchsorted(block.ends, first, side="right")
+                new = earliest(block, gram, own, doc, first)
+                again = joined(doc[~new], (first - block.starts[doc])[~new], count[~new])
+                gram, own, first, count, doc = (x[new] for x in (gram, own, first, count, doc))
                 bucket = (gram >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -181,11 +224,13 @@ def _offer(buckets: int):
                         block.ids[docs], docs.astype(np.uint32), block.null[docs],
                         place.astype(np.uint32), start.astype(np.uint32), count[at].astype(np.uint8),
                     )
+                    # The note goes with the block's first row.
+                    n_again, note = (len(again[0]), _note(*again)) if not rows else (0, None)
                     rows.append(
-                        (int(k), block.number, len(docs), len(at),
-                         _packed(gram[at], own[at]), zstandard.compress(small, 3))
+                        (int(k), block.number, len(docs), len(at), _packed(gram[at], own[at]),
+                         zstandard.compress(small, 3), n_again, note)
                     )
-                yield pd.DataFrame(rows, columns=["bucket", "block", "n_docs", "n", "hashes", "places"])
+                yield pd.DataFrame(rows, columns=OFFERED_COLUMNS)
 
     return offer
 
@@ -213,12 +258,15 @@ def _by_block(kind: int, block, doc, start, count, gram) -> list[tuple]:
     rows = []
     for a, b in zip(edges, [*edges[1:], len(order)]):
         at = order[a:b]
-        parts = [doc[at].astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint8)]
-        payload = _packed(*parts, *([gram[at]] if kind else []))
-        rows.append((kind, int(block[at[0]]), len(at), zstandard.compress(payload, 3)))
+        payload = _note(doc[at], start[at], count[at], *([gram[at]] if kind else []))
+        rows.append((kind, int(block[at[0]]), len(at), payload))
     return rows
 
 
+def _note(doc, start, count, *more) -> bytes:
+    return zstandard.compress(_packed(*(x.astype(np.uint32) for x in (doc, start, count)), *more), 3)
+
+
 NOTES = "kind int, block long, n int, payload binary"
 
 
@@ -232,9 +280,9 @@ def _read_notes(notes: pd.DataFrame, kind: int):
         raw = zstandard.decompress(payload)
         doc.append(np.frombuffer(raw, np.uint32, n))
         start.append(np.frombuffer(raw, np.uint32, n, 4 * n))
-        count.append(np.frombuffer(raw, np.uint8, n, 8 * n))
+        count.append(np.frombuffer(raw, np.uint32, n, 8 * n))
         if kind:
-            gram.append(np.frombuffer(raw[9 * n :], np.uint64, n))
+            gram.append(np.frombuffer(raw[12 * n :], np.uint64, n))
     if not doc:
         return [np.empty(0, np.int64)] * 4
     joined = [np.concatenate(x).astype(np.int64) for x in (doc, start, count)]
@@ -258,7 +306,8 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     first[1:] |= o[1:] != o[:-1]
     number = np.cumsum(new_gram) - 1
     several = (np.bincount(number[first], minlength=1) > 1)[number] if len(at) else first
-    out = []
+    noted = rows[rows["n_again"] > 0]
+    out = list(zip([0] * len(noted), noted["block"].tolist(), noted["n_again"].tolist(), noted["again"]))
     for kind, which in ((0, at[~first]), (1, at[first & several])):
         out += _by_block(kind, block[which], doc[which], start[which], count[which], gram[which])
     return _note_frame(out)
@@ -394,14 +443,13 @@ def _found(docs: DataFrame, rest) -> tuple[DataFrame, DataFrame]:
     """The stored blocks, and the notes on windows to remove."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = 4 * partitions(spark)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), rest.alias("rest")
     )
-    blocks = materialize(rows.mapInPandas(_to_blocks, BLOCKS), "blocks")
-    offered = blocks.select("block", "data", "ids", "sizes").mapInPandas(
-        _offer(buckets), "bucket int, block long, n_docs int, n int, hashes binary, places binary"
-    )
+    bytes = F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))
+    blocks, seen = materialize(rows.mapInPandas(_to_blocks, BLOCKS), "blocks", {"bytes": bytes})
+    buckets = max(4 * partitions(spark), -(-(seen["bytes"] or 0) // BYTES_OF_BUCKET))
+    offered = blocks.select("block", "data", "ids", "sizes").mapInPandas(_offer(buckets), OFFERED)
     notes = materialize(offered.groupBy("bucket").applyInPandas(_compare, NOTES), "notes")
     asked = notes.where("kind = 1").groupBy("block")
     sent = blocks.drop("rest").groupBy("block").cogroup(asked).applyInPandas(_send(buckets), TEXTS)
@@ -422,12 +470,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A character of which a byte is covered goes as a whole. A null text becomes an empty one.
     """
     others = [c for c in docs.columns if c != "text"]
-    blocks, notes = _found(docs, F.to_json(F.struct(*[F.col(c) for c in others])))
+    blocks, notes = _found(docs, as_json(docs, others))
     cogrouped = blocks.groupBy("block").cogroup(notes.groupBy("block"))
     cut = cogrouped.applyInPandas(_cut, "rest string, text string")
-    schema = docs.drop("text").schema
-    cut = cut.select(F.from_json("rest", schema).alias("_row"), F.col("text").alias("_text"))
-    made = {c: F.col("_row")[c] for c in others} | {"text": F.col("_text")}
+    made = out_of_json(docs, others, F.col("rest")) | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return cut.select(*[made[c].alias(c) for c in docs.columns])
