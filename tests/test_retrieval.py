@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,50 @@ WORKED = {
 }
 
 
+def folded(text, size, overlap):
+    """Chunks by growing strings, one paragraph after another."""
+    out = []
+    for i, section in enumerate(text.split("\n## ")):
+        whole = ("## " if i else "") + section
+        if len(whole) <= size:
+            out.append(whole.strip())
+            continue
+        current = ""
+        for paragraph in whole.split("\n\n"):
+            if len(current) + len(paragraph) > size and current != "":
+                out.append(current.strip())
+                current = current[-overlap:] if overlap else ""
+            current += "\n\n" + paragraph
+        if current.strip():
+            out.append(current.strip())
+    return out
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(800, 100), (50, 10), (30, 0), (20, 25)])
+def test_offsets_give_the_chunks_of_the_growing_strings(spark, size, overlap):
+    rng = random.Random(size)
+    texts = [random_text(rng) for _ in range(40)] + ["\n\n".join("ab" for _ in range(2000)), "\n\n" * 700]
+    rows = documents(spark, texts).select(T.chunk_array(F.col("text"), size, overlap).alias("chunks"), "doc_id")
+    assert {r.doc_id: r.chunks for r in rows.collect()} == {
+        i: folded(t, size, overlap) for i, t in enumerate(texts)
+    }
+
+
+def test_time_of_chunking_is_linear(spark):
+    """Eight times the paragraphs take at most some sixteen times as long."""
+
+    def seconds(paragraphs):
+        numbers = F.sequence(F.lit(1), F.lit(paragraphs))
+        text = F.array_join(F.transform(numbers, lambda i: F.repeat(F.lit("word "), 20)), "\n\n")
+        started = time.monotonic()
+        row = spark.range(1).select(F.size(T.chunk_array(text)).alias("n")).first()
+        assert row.n == -(-paragraphs // 6)
+        return time.monotonic() - started
+
+    seconds(2_000)
+    assert seconds(80_000) < 16 * seconds(10_000) + 2
+
+
 def test_worked_chunks(spark):
     texts = [text for text, _ in WORKED.values()]
     rows = retrieval.chunk_text(documents(spark, texts)).orderBy("doc_id", "chunk_ord").collect()
