@@ -7,15 +7,13 @@ day, household or group costs each task one partial row.
 from __future__ import annotations
 
 from datetime import date
-from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.functions import calendar
-from meterlight.functions.numeric import number_or_null, pearson
+from meterlight.functions.moments import correlations
+from meterlight.functions.numeric import number_or_null
 from meterlight.functions.quantiles import exact_quantiles, lookup
 from meterlight.operators.joins import with_scalar
 from meterlight.schema import (
@@ -252,31 +250,10 @@ def heatmap_columns(df: DataFrame, limit: int = HEATMAP_COLUMNS) -> list[str]:
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, r) for every unordered pair of columns, each column with itself included.
 
-    Without nulls the whole matrix comes from one distributed covariance computation. With
-    nulls each pair is taken over the rows that have both values.
+    Each pair is taken over the rows that have both values; all come from one scan.
     """
-    pairs = list(combinations_with_replacement(columns, 2))
     doubles = df.select(*[number_or_null(F.col(c)).alias(c) for c in columns])
-    facts = doubles.agg(
-        F.max(F.greatest(*[F.col(c).isNull().cast("int") for c in columns])).alias("nulls"),
-        *[F.stddev_pop(c).alias(c) for c in columns],
-    ).first()
-    varies = {c for c in columns if facts[c]}
-    if facts["nulls"]:
-        row = doubles.agg(
-            *[pearson(x, y).alias(f"r{i}") for i, (x, y) in enumerate(pairs) if x != y],
-        ).first()
-        values = [None if x == y else row[f"r{i}"] for i, (x, y) in enumerate(pairs)]
-    else:
-        assembler = VectorAssembler(inputCols=columns, outputCol="vector")
-        vectors = assembler.transform(doubles).select("vector")
-        matrix = Correlation.corr(vectors, "vector").first()[0]
-        place = {c: i for i, c in enumerate(columns)}
-        values = [float(matrix[place[x], place[y]]) for x, y in pairs]
-    rows = [
-        (x, y, (1.0 if x == y else r) if {x, y} <= varies else None)
-        for (x, y), r in zip(pairs, values)
-    ]
+    rows = [(x, y, r) for (x, y), r in correlations(doubles, columns).items()]
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
