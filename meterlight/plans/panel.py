@@ -33,7 +33,8 @@ from meterlight.schema import (
     TARGET,
     WEATHER_COLUMNS,
 )
-from meterlight.session import materialize
+from meterlight.session import new_path
+from meterlight.sources.bucketed import buckets_for, by_household, write_bucketed
 from meterlight.sources.readers import FILE_ORDER, first_per_key
 
 DERIVED_COLUMNS = [*CALENDAR_COLUMNS, HOLIDAY_FLAG, *LAG_COLUMNS, *ROLLING_COLUMNS]
@@ -52,6 +53,7 @@ def unfinished_panel(
     households: DataFrame,
     weather: DataFrame,
     holidays: DataFrame | None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Everything up to the table-wide medians, with every window in one pass.
 
@@ -61,7 +63,7 @@ def unfinished_panel(
     comes last, so the fills, lags and rolling statistics ride on a single shuffle and sort,
     and on the join's own shuffle when the household table is too large to broadcast. The
     target has no nulls left to fill, so its lags wait neither for the fills nor for the
-    medians.
+    medians. With ``buckets`` that shuffle makes as many partitions, as the stored table has.
     """
     measured = [c for c in readings.columns if c in ENERGY_COLUMNS] + [
         c for c in weather.columns if c in WEATHER_COLUMNS
@@ -77,6 +79,7 @@ def unfinished_panel(
         .transform(fill_unknown, [HOUSEHOLD])
         .transform(join_weather, weather)
         .transform(holiday_flag, holidays)
+        .transform(lambda df: by_household(df, buckets) if buckets else df)
         .transform(join_households, one_per_household)
         .transform(fill_unknown, attributes)
         .transform(fill_forward_backward, [c for c in measured if c != TARGET])
@@ -93,11 +96,17 @@ def build_panel(
     households: DataFrame,
     weather: DataFrame,
     holidays: DataFrame | None,
+    buckets: int | None = None,
 ) -> Panel:
-    """Write the panel once; null counts are observed during the write, at no extra pass."""
-    plan = unfinished_panel(readings, households, weather, holidays)
+    """Write the panel once, in buckets by household; null counts are observed during the write, at no extra pass.
+
+    The one shuffle by household also makes the buckets, and what groups the stored panel by household has none.
+    """
+    spark = readings.sparkSession
+    buckets = buckets or buckets_for(spark)
+    plan = unfinished_panel(readings, households, weather, holidays, buckets)
     measured = [c for c in ENERGY_COLUMNS + WEATHER_COLUMNS if c in plan.columns]
-    stored, nulls = materialize(plan, "panel", null_counts(measured))
+    stored, nulls = write_bucketed(plan, new_path(spark, "panel"), buckets, null_counts(measured))
     medians = medians_of_incomplete(stored, nulls)
     cleaned = stored.na.fill(medians) if medians else stored
     return Panel(cleaned=cleaned, features=drop_short_history(cleaned))
