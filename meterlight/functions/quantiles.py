@@ -2,10 +2,13 @@
 
 ``percentile`` and ``median`` keep every distinct value of a group in one task's memory.
 That is fine for a group with a known bound (one household's days) but not for a whole
-table. Here the ranks are found by refining a histogram: each pass counts rows per equi-width
+table. Here the first scan makes a mergeable quantile sketch (KLL) of each group, which brackets every
+rank between two values; the second counts the rows below the bracket and the values inside, and picks
+the rank. The sketch only says where to look: a rank that turns out to lie outside its bracket, or a bracket of more than
+``FINISH_ROWS`` rows, is searched on by refining a histogram. Each of its passes counts rows per equi-width
 bin with map-side partial sums, keeps the bin a rank falls in, and narrows to the smallest
-and largest value actually seen there. Once no search spans more than ``FINISH_ROWS`` rows,
-the values inside are counted and the rank is picked. The searches are rows of a stored table,
+and largest value actually seen there, until no search spans more than ``FINISH_ROWS`` rows. A bracket's first
+pass also counts what lies below and above it, so any rank is found from it. The searches are rows of a stored table,
 at most two for each group and probability, so any number of groups can be searched, and
 the number of passes never changes a result.
 """
@@ -21,6 +24,10 @@ from meterlight.session import materialize
 
 BINS = 1024
 FINISH_ROWS = 200_000
+#: Items of a sketch, and the share of a group by which a bracket reaches past a rank on both sides: several
+#: times the sketch's usual error, which was under 0.1 %.
+SKETCH_ITEMS = 4096
+REACH = 0.004
 
 
 def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -38,13 +45,16 @@ def _narrowed(data: DataFrame, state: DataFrame, keys: list[str], bins: int) ->
     """``state`` with every search moved to the bin its rank falls in.
 
     ``state`` has one row per key and rank: the rank among the values in ``[low, high]``,
-    and how many those are.
+    and how many those are; or, of a ``guessed`` bracket, the rank among all. Then what lies below and above it are
+    two more bins.
     """
     search = [*keys, "target"]
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    place = F.when(value < low, -1).when(value > high, bins).otherwise(_bin_of(value, low, high, bins))
     per_bin = (
         data.join(state, keys)
-        .filter(F.col("value").between(F.col("low"), F.col("high")))
-        .withColumn("bin", _bin_of(F.col("value"), F.col("low"), F.col("high"), bins))
+        .filter(F.col("guessed") | value.between(low, high))
+        .withColumn("bin", place)
         .groupBy(*search, "rank", "bin")
         .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     )
@@ -56,9 +66,27 @@ def _narrowed(data: DataFrame, state: DataFrame, keys: list[str], bins: int) ->
         per_bin.withColumn("rank", F.col("rank") - before)
         .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n")))
         .drop("bin")
+        .withColumn("guessed", F.lit(False))
     )
 
 
+def _picked(data: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, target, value) of the searches whose rank lies in their bracket, by counting the values inside."""
+    search = [*keys, "target"]
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    inside = (
+        data.join(state, keys)
+        .filter((value <= high) & (F.col("guessed") | (value >= low)))
+        .groupBy(*search, "rank", F.when(value >= low, value).alias("value"))  # null: all that lies below
+        .agg(F.count("*").alias("n"))
+    )
+    upto = F.sum("n").over(Window.partitionBy(*search).orderBy(F.asc_nulls_first("value")))
+    found = inside.withColumn("upto", upto).filter(
+        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    )
+    return found.where("value IS NOT NULL").select(*search, "value")
+
+
 def quantile_table(
     df: DataFrame,
     keys: list[str],
@@ -70,38 +98,48 @@ def quantile_table(
     """(keys, quantiles): linear-interpolation quantiles of every group, as an array.
 
     Groups may have any number and any size; none may be null. Nulls and NaN are left out.
-    ``df`` is scanned once per pass, so give it a stored table.
+    ``df`` is scanned once per pass, twice for groups of up to FINISH_ROWS / (2 * REACH) rows, so give it a stored table.
     """
     value = F.col(value) if isinstance(value, str) else value
     data = df.select(*keys, value.cast("double").alias("value")).filter(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
-    sizes = materialize(
-        data.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
-        ),
-        "group-sizes",
+    sketched = data.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.min("value").alias("least"),
+        F.max("value").alias("most"),
+        F.kll_sketch_agg_double("value", F.lit(SKETCH_ITEMS)).alias("sketch"),
     )
     places = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
-    ranks = F.array_distinct(F.array(*[f(at) for at in places for f in (F.floor, F.ceil)]))
-    state = sizes.withColumn("target", F.explode(ranks)).withColumn("rank", F.col("target"))
+    few = F.col("n") * REACH < 2  # a bracket by shares might not reach the next row
+
+    def bracket(p: float, place: Column) -> list[Column]:
+        def end(share: float, beyond: str) -> Column:
+            if not 0 < share < 1:
+                return F.col(beyond)
+            return F.when(few, F.col(beyond)).otherwise(F.kll_sketch_get_quantile_double("sketch", F.lit(share)))
+
+        ends = end(float(p) - REACH, "least").alias("low"), end(float(p) + REACH, "most").alias("high")
+        return [F.struct(f(place).alias("target"), *ends) for f in (F.floor, F.ceil)]
+
+    brackets = F.array(*[b for p, at in zip(probabilities, places) for b in bracket(p, at)])
+    sizes = materialize(sketched.select(*keys, "n", brackets.alias("brackets")), "group-sizes")
+    span = F.when(F.col("n") * REACH < 2, F.col("n")).otherwise(F.ceil(F.col("n") * (2 * REACH)))
+    state = (
+        sizes.select(*keys, span.alias("n"), F.inline("brackets"))
+        .groupBy(*keys, "target", "n")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .withColumns({"rank": F.col("target"), "guessed": F.lit(True)})
+    )
+    found = None
     while True:
-        widest = state.filter("low < high").agg(F.max("n")).first()[0]
+        widest = state.agg(F.max(F.when(F.col("low") < F.col("high"), F.col("n")))).first()[0]
         if widest is None or widest <= finish_rows:
-            break
+            found = materialize(_picked(data, state, keys), "quantiles")
+            if found.count() == state.count():
+                break
+        # Too wide yet, or a rank outside its guessed bracket: what a pass leaves is no guess any more.
         state = materialize(_narrowed(data, state, keys, bins), "quantile-search")
-
-    search = [*keys, "target"]
-    inside = (
-        data.join(state, keys)
-        .filter(F.col("value").between(F.col("low"), F.col("high")))
-        .groupBy(*search, "rank", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    upto = F.sum("n").over(Window.partitionBy(*search).orderBy("value"))
-    found = inside.withColumn("upto", upto).filter(
-        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-    )
     at_rank = F.map_from_entries(F.collect_list(F.struct("target", "value")))
     by_group = found.groupBy(*keys).agg(at_rank.alias("found")).join(sizes, keys)
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from meterlight.functions import quantiles
 from meterlight.functions.quantiles import exact_median, exact_quantiles, grouped_median
 
 PROBABILITIES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0]
@@ -82,3 +84,32 @@ def test_grouped_median_equals_numpy(spark, bounded, bins):
     assert {r.g: r["median"] for r in found} == pytest.approx(
         {g: np.median(part) for g, part in parts.items()}
     )
+
+
+def counted_passes(monkeypatch):
+    labels = []
+    plain = quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda df, label: labels.append(label) or plain(df, label))
+    return labels
+
+
+def test_a_large_group_takes_two_scans(spark, monkeypatch):
+    """One for the sketch, one inside its brackets, where the histogram alone would take three."""
+    labels = counted_passes(monkeypatch)
+    values = np.random.default_rng(8).lognormal(0, 3, 300_000)
+    table = spark.createDataFrame(pd.DataFrame({"v": values}))
+    found = exact_quantiles(table, "v", PROBABILITIES)
+    assert labels == ["group-sizes", "quantiles"]
+    np.testing.assert_allclose(found[0], np.quantile(values, PROBABILITIES), rtol=1e-12)
+
+
+@pytest.mark.parametrize("finish", [0, 500, 10**6])
+def test_a_rank_outside_its_bracket_is_found(spark, monkeypatch, finish):
+    """Brackets moved off their ranks, as a sketch far off would: the same values, by more passes."""
+    values = np.random.default_rng(10).normal(size=30_000)
+    table = spark.createDataFrame(pd.DataFrame({"v": values}))
+    expected = np.quantile(values, PROBABILITIES)
+    for reach in (-0.01, 0.0):
+        monkeypatch.setattr(quantiles, "REACH", reach)
+        found = exact_quantiles(table, "v", PROBABILITIES, finish_rows=finish, bins=64)
+        np.testing.assert_allclose(found[0], expected, rtol=1e-12)
