@@ -197,6 +197,39 @@ def test_word_encoder_equals_the_library(texts):
     assert ids.tolist() == [i for e in expected for i in e.ids]
 
 
+@pytest.mark.parametrize("limits", [(400_000, 500_000), (40, 30)])
+def test_word_encoder_batch_after_batch(limits):
+    """Tables that last and that start anew; odd words among plain ones, bytes that are no UTF-8, white space at the ends."""
+    codec, library = JsonEncoder(WORD_BPE, *limits), JsonEncoder(WORD_BPE).tokenizer
+    rng = random.Random(11)
+    pieces = ["Tion", "é", "É", "'s", "'LL", "12", "!?", "—", "漢", "İ", "</w>", "<|", "<|endoftext|>", "\x85", "\x1c", "\xa0", " ", "\n", "\t ", "\x0b", "\x0c"]
+    for _ in range(60):
+        texts = ["".join(rng.choices(pieces, k=rng.randrange(40))).encode() for _ in range(8)] + [b"", b" \n ", b"\xe2\x82 a\xed\xa0 \xf0"]
+        expected = [e.ids for e in library.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        ids, counts = codec.encode(texts)
+        assert ids.tolist() == [i for own in expected for i in own]
+        assert counts.tolist() == codec.counts(texts).tolist() == [len(own) for own in expected]
+        assert codec.words(texts)[1].tolist() == [len(t.split()) for t in texts]
+    assert codec.words([])[1].tolist() == [] and codec.encode([])[0].tolist() == []
+
+
+def test_parts_of_words_are_encoded_once(monkeypatch):
+    """Words that differ by case or signs, in one batch or another, send no part to the library again."""
+    codec = JsonEncoder(WORD_BPE)
+    seen, library = Counter(), codec.parts
+
+    class Counted:
+        def encode_batch(self, texts, **settings):
+            seen.update(" ".join(texts).split())
+            return library.encode_batch(texts, **settings)
+
+    monkeypatch.setattr(codec, "parts", Counted())
+    for text in ("stem other STEM", "Stem, (stem) other.", "stem's oTHER! stem."):
+        expected = codec.tokenizer.encode(text, add_special_tokens=False).ids
+        assert codec.encode([text.encode()])[0].tolist() == expected
+    assert set(seen.values()) == {1} and {"stem", "other", "'s"} <= set(seen)
+
+
 def test_splicing_equals_whole_texts():
     codec = JsonEncoder(WORD_BPE)
     rng = random.Random(5)
