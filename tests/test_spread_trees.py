@@ -124,3 +124,12 @@ def test_blocks_tasks_and_order_change_no_bit(settings, monkeypatch):
     dealt = rng.permutation(n)
     for got in grown([dealt[:1200], dealt[1200:1200], dealt[1200:]], 700, 3):
         assert got == want
+
+
+def test_gains_are_not_sent_to_predict(spark, binned, monkeypatch):
+    model = trees.fit_boosted(binned, {"m": SHARED})["m"]
+    sent = []
+    monkeypatch.setattr(trees.F, "pandas_udf", lambda kind: lambda f: sent.extend(f.__closure__) or (lambda *columns: F.lit(0)))
+    trees.predictions([model], spark)
+    (models,) = [c.cell_contents for c in sent if isinstance(c.cell_contents, list)]
+    assert all(len(t.gain) == 0 for t in models[0].trees) and all(len(t.gain) for t in model.trees)
